@@ -4,25 +4,47 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
 #: Runs kept by a worker, and the longest run kept.
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 1_000_000, 64
+
+
+#: Below this, letters are the same to every Unicode version and change case one by one.
+LATIN_END = "\u0250"
+
+
+def _latin(text: str) -> bool:
+    return text.isalpha() and max(text) < LATIN_END
 
 
 class _Ids(dict):
-    """Ids of runs of characters other than white space; unknown ones are encoded when they are asked for."""
+    """Ids of runs of characters other than white space; unknown ones are encoded when they are asked for.
+
+    A run of Latin letters is one word to the vocabulary's splitter, so its model can be asked directly; a stop or
+    comma after one is a word of its own. All other runs take the whole way.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._encode = Tokenizer.from_file(path).encode
+        own = Tokenizer.from_file(path)
+        self._encode, self._word = own.encode, own.model.tokenize
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._bytes = {c: split(chr(c))[0][0] for c in range(0x41, 0x250) if chr(c).isalpha()}
 
     def __missing__(self, run: bytes) -> bytes:
-        ids = np.array(self._encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        text = run.decode("utf-8", "replace")
+        if len(run) <= LONGEST and run[-1:] in (b".", b",") and _latin(text[:-1] or "."):
+            ids = self[run[:-1]] + self[run[-1:]]
+        elif _latin(text) and _latin(low := text.lower()) and unicodedata.is_normalized("NFC", text):
+            ids = np.array([t.id for t in self._word(low.translate(self._bytes))], "<u4").tobytes()
+        else:
+            ids = np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(run) <= LONGEST:
             self[run] = ids
         return ids
