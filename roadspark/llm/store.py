@@ -97,9 +97,3 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     made = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
-
-def flat_list(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A list column from the values in a row and the count of each list."""
-    at = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts, out=at[1:])
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(values, type=kind))
