@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .debruijn import digest as word_digest
 from .debruijn import word_dedup
 from .decontaminate import contamination, digest
+from .neighbours import nearest
 from .packing import pack
 from .simhash import simhash_groups
 from .suffixes import digest as suffix_digest
@@ -49,6 +50,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_digest(word_dedup(table(spark, sf_dir, "documents")))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_nearest": op8_nearest,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are held against brute force in tests/llm.
