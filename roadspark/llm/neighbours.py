@@ -18,7 +18,7 @@ SAMPLE, PROBES = 4096, 64
 #: Dimensions and bits of each of a curve's keys, and the curves at hand.
 DIMENSIONS, BITS, CURVES = 8, 7, 4
 #: Rows of a block of consecutive keys as far as the sample tells them apart; blocks at most; rows and queries of a cell.
-BLOCK, BLOCKS, CELL = 4096, 1024, 8192
+BLOCK, BLOCKS, CELL = 1024, 1024, 8192
 #: Share of the probes' true neighbours that the window must hold.
 RECALL = 0.95
 
