@@ -18,7 +18,7 @@ SAMPLE, PROBES = 4096, 64
 #: Dimensions and bits of each of a curve's keys, and the curves at hand.
 DIMENSIONS, BITS, CURVES = 8, 7, 4
 #: Rows of a block of consecutive keys as far as the sample tells them apart; blocks at most; rows and queries of a cell.
-BLOCK, BLOCKS, CELL = 1024, 1024, 8192
+BLOCK, BLOCKS, CELL = 1024, 1024, 16384
 #: Share of the probes' true neighbours that the window must hold.
 RECALL = 0.95
 
@@ -242,22 +242,26 @@ def _cells(rows: DataFrame, curves: Curves, n_curves: int, reach: int, width: in
     sums = rows.mapInArrow(count, "curve int, block int, query boolean, n long").groupBy("curve", "block", "query").agg(F.sum("n").alias("n"))
     for r in sums.collect():  # one row for each block
         sizes[r["curve"]][int(r["query"]), r["block"]] = r["n"]
+    # consecutive blocks share a panel of about CELL rows, so that a query has few cells; what is larger is split
     splits = []
     for s in sizes:
+        panel = np.unique((np.cumsum(s[0]) - s[0]) // CELL, return_inverse=True)[1]
         ends = np.concatenate(([0], np.cumsum(s[1])))
-        at = np.arange(s.shape[1])
-        in_window = ends[np.minimum(at + reach + 1, s.shape[1])] - ends[np.maximum(at - reach, 0)]
-        splits.append((np.maximum(1, -(-s[0] // CELL)), np.maximum(1, -(-in_window // CELL))))
+        at, n = np.arange(s.shape[1]), panel[-1] + 1
+        low = np.array([at[panel == p].min() for p in range(n)])
+        high = np.append(low[1:], len(at))
+        asked = ends[np.minimum(high + reach, len(at))] - ends[np.maximum(low - reach, 0)]
+        splits.append((panel, np.maximum(1, -(-np.bincount(panel, s[0]).astype(np.int64) // (2 * CELL))), np.maximum(1, -(-asked // CELL))))
 
-    kinds = "curve int, block int, salt int, chunk int, query boolean, id long, v array<double>"
-    schema = pa.schema([("curve", pa.int32()), ("block", pa.int32()), ("salt", pa.int32()), ("chunk", pa.int32()), ("query", pa.bool_()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    kinds = "curve int, panel int, salt int, chunk int, query boolean, id long, v array<double>"
+    schema = pa.schema([("curve", pa.int32()), ("panel", pa.int32()), ("salt", pa.int32()), ("chunk", pa.int32()), ("query", pa.bool_()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1), width)
             mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            for c, (salts, chunks) in enumerate(splits):
-                at = shared.value.blocks(x, False, c)
+            for c, (panel, salts, chunks) in enumerate(splits):
+                at = panel[shared.value.blocks(x, False, c)]
                 times = chunks[at]
                 own = np.repeat(np.arange(len(ids)), times)
                 chunk = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
@@ -266,7 +270,7 @@ def _cells(rows: DataFrame, curves: Curves, n_curves: int, reach: int, width: in
                 if not len(asks):
                     continue
                 at = shared.value.blocks(x[asks], True, c)
-                lo, hi = np.maximum(at - reach, 0), np.minimum(at + reach, len(salts) - 1)
+                lo, hi = panel[np.maximum(at - reach, 0)], panel[np.minimum(at + reach, len(panel) - 1)]
                 times = hi - lo + 1
                 own = np.repeat(np.arange(len(asks)), times)
                 block = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times) + lo[own]
@@ -279,7 +283,7 @@ def _cells(rows: DataFrame, curves: Curves, n_curves: int, reach: int, width: in
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = ["curve", "block", "salt", "chunk"]
+        by = ["curve", "panel", "salt", "chunk"]
         for t in whole_groups(batches, by, 4096):
             query, ids, x = (t.column("query").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("v"), width))
             bound = runs([t.column(c).to_numpy() for c in by])
@@ -290,5 +294,5 @@ def _cells(rows: DataFrame, curves: Curves, n_curves: int, reach: int, width: in
                         yield batch(out, found)
 
     dealt = rows.mapInArrow(deal, kinds)
-    by = ["curve", "block", "salt", "chunk"]
+    by = ["curve", "panel", "salt", "chunk"]
     return dealt.repartition(*by).sortWithinPartitions(*by, "query").mapInArrow(search, "query_id long, vec_id long, score double")
