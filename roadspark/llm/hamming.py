@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import batch, materialize
+from .store import materialize
 
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt out as pairs of chunks.
 CHUNK = 4096
@@ -67,10 +67,11 @@ def within(vertical: list[int], shift: int, alive: int, radius: int) -> int:
     return alive & ~above
 
 
-def forest(fps: np.ndarray, group: np.ndarray, largest: int, radius: int) -> np.ndarray:
+def forest(fps: np.ndarray, group: np.ndarray, largest: int, radius: int, verify: Callable[[int, int], bool] | None = None) -> np.ndarray:
     """For each row the first row of its component among the rows of its group, linked within the radius.
 
-    Rows of a group are neighbours; no group has more than ``largest`` rows.
+    Rows of a group are neighbours; no group has more than ``largest`` rows. ``verify`` has the last word on a link;
+    it isn't asked about rows that are connected already.
     """
     n = len(fps)
     root = np.arange(n)
@@ -85,16 +86,23 @@ def forest(fps: np.ndarray, group: np.ndarray, largest: int, radius: int) -> np.
         if not len(hit):
             continue
         for i, j in zip(hit.tolist(), (hit + shift).tolist()):
-            while root[i] != i:
-                i = root[i]
-            while root[j] != j:
-                j = root[j]
-            root[max(i, j)] = min(i, j)
+            a, b = i, j
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b and (verify is None or verify(i, j)):
+                root[max(a, b)] = min(a, b)
         while not np.array_equal(root, up := root[root]):
             root = up
     return root
 
 
+def parts_for(rows: int) -> int:
+    """Blocks so many that buckets of evenly spread fingerprints stay small; any number gives the same links."""
+    return 4 if rows < 1 << 24 else 5 if rows < 1 << 33 else 6
+
+
 def bucket_cells(fps: DataFrame, fp: str, radius: int, parts: int, chunk: int) -> DataFrame:
     """``fps`` with columns key and cell: two fingerprints within the radius share a (key, cell) at least once.
 
@@ -109,6 +117,8 @@ def bucket_cells(fps: DataFrame, fp: str, radius: int, parts: int, chunk: int) -
         keys.append(key)
     spread = fps.withColumn("key", F.explode(F.array(*keys)))
     counts = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    if parts == 4 and radius == 3:  # four blocks of 16 bits have 2**18 keys at most, 4 MB
+        counts = F.broadcast(counts)
     met = spread.join(counts, "key").withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64(fp, F.lit(7)), F.col("c")).cast("int"))
     other = F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda j: j != F.col("own"))
@@ -151,31 +161,48 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], least: int =
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def hamming_links(fps: DataFrame, fp: str, node: str, radius: int = 3, parts: int = 5, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) links that span the components of fingerprints within ``radius`` bits; node is a long, unique by fp.
+def hamming_links(
+    fps: DataFrame,
+    fp: str,
+    node: str,
+    radius: int = 3,
+    parts: int = 5,
+    chunk: int = CHUNK,
+    text: str | None = None,
+    verify: Callable[[bytes, bytes], bool] | None = None,
+) -> DataFrame:
+    """(a, b) links that span the components of fingerprints within ``radius`` bits; node tells the rows apart.
 
     Within a cell, a component of m rows gives m - 1 links to its first row, never all pairs; every pair within the
-    radius is compared in some cell, so no link between different fingerprints is lost.
+    radius is compared in some cell, so no link between different fingerprints is lost. ``verify`` has the last word
+    on each link, from the two rows' ``text``.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    kind = fps.schema[node].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "cell"]):
             key, cell = (t.column(c).to_numpy() for c in ("key", "cell"))
-            value, ids = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()
+            value, ids = t.column("fp").to_numpy().view(np.uint64), t.column("node").combine_chunks()
             at = runs([key, cell])
             size = np.diff(at)
             group = np.repeat(np.arange(len(size)), size)
             root = np.arange(len(value))
+            said = [x.encode() for x in t.column("text").to_pylist()] if verify else None
+
+            def own_verify(places: np.ndarray) -> Callable[[int, int], bool] | None:
+                return (lambda i, j: verify(said[places[i]], said[places[j]])) if verify else None
+
             if (few := size[group] < SMALL).any():
                 own = np.flatnonzero(few)
-                root[own] = own[forest(value[own], group[own], SMALL, radius)]
+                root[own] = own[forest(value[own], group[own], SMALL, radius, own_verify(own))]
             for g in np.flatnonzero(size >= SMALL):
-                a, b = at[g], at[g + 1]
-                root[a:b] = a + forest(value[a:b], group[a:b], int(size[g]), radius)
+                own = np.arange(at[g], at[g + 1])
+                root[own] = own[forest(value[own], group[own], len(own), radius, own_verify(own))]
             linked = np.flatnonzero(root != np.arange(len(root)))
-            yield batch(schema, (ids[linked], ids[root[linked]]))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(linked)), ids.take(pa.array(root[linked]))], ["a", "b"])
 
-    cells = bucket_cells(fps.select(F.col(fp).alias("fp"), F.col(node).alias("node")), "fp", radius, parts, chunk)
-    dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "fp")
-    return dealt.mapInArrow(compare, "a long, b long")
+    columns = [F.col(fp).alias("fp"), F.col(node).alias("node"), *([F.col(text).alias("text")] if text else [])]
+    dealt = bucket_cells(fps.select(*columns), "fp", radius, parts, chunk)
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "fp")
+    return dealt.mapInArrow(compare, f"a {kind}, b {kind}")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .debruijn import digest as word_digest
 from .debruijn import word_dedup
 from .decontaminate import contamination, digest
+from .lines import digest as line_digest
+from .lines import line_dedup
 from .neighbours import nearest
 from .packing import pack
 from .simhash import simhash_groups
@@ -54,6 +56,10 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(line_dedup(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_nearest": op8_nearest,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are held against brute force in tests/llm.
