@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -56,11 +58,15 @@ def drop(*tables: DataFrame | None) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner free the shuffle files of plans that are no longer referenced."""
-    import gc
+    """Let Spark's cleaner free the shuffle files of plans that are no longer referenced.
 
-    gc.collect()
-    spark._jvm.System.gc()
+    The first collection lets go of plans that Python held, the next ones of the shuffles that the plans held; the
+    cleaner works beside them.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hamming import runs, whole_groups
-from .store import batch, drop, materialize, texts, utf8
-from .windows import Tokens, byte_tokens, covered, cut, gram_hashes, keyed, lists_of, shared_minimizers, stretches, with_spans
+from .store import batch, drop, materialize, release, texts, utf8
+from .windows import Copies, Tokens, byte_tokens, compare_stretches, covered, cut, gram_hashes, keyed, known, lists_of, span_lists, stretches
 
 #: Bytes of a digit of the radix sort.
 DIGIT = 8
-#: Places of a minimizer beyond which its windows are counted one by one, in aggregates that combine before a shuffle.
+#: Different stretches of a minimizer beyond which its windows are counted one by one, in aggregates that combine before a shuffle.
 HOT = 1 << 15
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
@@ -96,49 +96,38 @@ def repeated_runs(t: pa.Table, size: int) -> tuple[np.ndarray, ...]:
     )
 
 
-def _stretch_rows(docs: DataFrame, lists: DataFrame, kind: Tokens) -> DataFrame:
-    """(gram, doc_id, row, start, bytes) of the stretches whose minimizer is shared."""
+def _stretch_rows(met: DataFrame, kind: Tokens) -> DataFrame:
+    """(gram, doc_id, row, start, bytes) of the stretches whose windows have to be compared."""
     schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, row = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ids, row = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            compared, copies = list(lists_of(b.column(3))), Copies(b.column(4))
+            if not any(map(len, compared)):
+                continue
             data, at = utf8(b.column(2))
-            known = list(lists_of(b.column(3)))
             tokens, own_at = byte_tokens(b.column(2))
-            for text, first, n, grams in stretches(tokens, own_at, kind):
-                grams = grams.view(np.int64)
-                keep = _known(text, grams, known)
-                if len(keep):
+            for text, first, n, grams, whole in stretches(tokens, own_at, kind):
+                keep = known(text, grams.view(np.int64), compared) & ~copies.flags(text, whole)
+                if keep.any():
                     text, first, n, grams = text[keep], first[keep], n[keep], grams[keep]
-                    size = n + kind.size - 1
-                    yield batch(schema, (grams, ids[text], row[text], first - own_at[text], cut(data, first + at[0], size)))
+                    yield batch(schema, (grams.view(np.int64), ids[text], row[text], first - own_at[text], cut(data, first + at[0], n + kind.size - 1)))
 
-    met = docs.join(lists.where("size(grams) > 0").select("doc_id", "grams"), "doc_id").select("doc_id", "row", "text", "grams")
-    return met.mapInArrow(run, "gram long, doc_id long, row long, start long, bytes binary")
+    return met.select("doc_id", "row", "text", "grams", "copies").mapInArrow(run, "gram long, doc_id long, row long, start long, bytes binary")
 
 
-def _known(text: np.ndarray, grams: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
-    """Places whose minimizer is among those of its text."""
-    keep = np.zeros(len(text), bool)
-    bound = runs([text])
-    for lo, hi in zip(bound[:-1].tolist(), bound[1:].tolist()):
-        if len(own := known[text[lo]]):
-            keep[lo:hi] = np.isin(grams[lo:hi], own)
-    return np.flatnonzero(keep)
-
-
-def hot_windows(docs: DataFrame, lists: DataFrame, kind: Tokens) -> DataFrame:
+def hot_windows(met: DataFrame, kind: Tokens) -> DataFrame:
     """(a, b, doc_id, row, start) of each window whose minimizer is hot; (a, b) is a 128-bit hash of the window."""
     schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "doc_id", "row", "start")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, row, known = b.column(0).to_numpy(), b.column(1).to_numpy(), list(lists_of(b.column(3)))
+            ids, row, compared = b.column(0).to_numpy(), b.column(1).to_numpy(), list(lists_of(b.column(3)))
             tokens, at = kind.hashed(b.column(2))
-            for text, first, n, grams in stretches(tokens, at, kind):
-                keep = _known(text, grams.view(np.int64), known)
-                if not len(keep):
+            for text, first, n, grams, _ in stretches(tokens, at, kind):
+                keep = known(text, grams.view(np.int64), compared)
+                if not keep.any():
                     continue
                 text, first, n = text[keep], first[keep], n[keep]
                 lo = int(first[0])
@@ -148,56 +137,70 @@ def hot_windows(docs: DataFrame, lists: DataFrame, kind: Tokens) -> DataFrame:
                 of = np.repeat(text, n)
                 yield batch(schema, (x, y, ids[of], row[of], place - at[of]))
 
-    met = docs.join(lists.where("size(hot_grams) > 0").select("doc_id", "hot_grams"), "doc_id").select("doc_id", "row", "text", "hot_grams")
-    return met.mapInArrow(run, "a long, b long, doc_id long, row long, start long")
+    rows = met.where("size(hot_grams) > 0").select("doc_id", "row", "text", "hot_grams")
+    return rows.mapInArrow(run, "a long, b long, doc_id long, row long, start long")
 
 
-def repeated_spans(docs: DataFrame, size: int = 50, gram: int = 16, hot: int = HOT) -> DataFrame:
-    """(doc_id, row, start, length) of bytes in windows of ``size`` bytes that a smaller doc_id has too."""
-    kind = Tokens(size, gram, byte_tokens)
-    lists = shared_minimizers(docs, kind, True, hot)
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 16, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept is the text without repeated bytes, as bytes.
+
+    A byte goes if a window of ``size`` bytes that covers it also starts in a document of smaller id; windows are
+    judged on the input. Stretches of windows with one minimizer that a smaller id has as a whole repeat; of the
+    others the suffixes are dealt out by minimizer and radix-sorted through ``size`` bytes. Windows of minimizers in
+    more than ``hot`` different stretches are told apart by a 128-bit hash instead, in aggregates that combine before
+    their shuffle. Null texts are empty; rows of equal doc_id do not bear on each other; rows without doc_id keep all
+    and are nobody's source; an empty table gives an empty one.
+    """
+    own, kind = keyed(docs, id_col, text_col), Tokens(size, gram, byte_tokens)
+    lists = compare_stretches(own, kind, False, hot)
+    release(docs.sparkSession)
+    met = own.join(lists, "doc_id", "left")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["gram"]):
             doc, row, start, n = repeated_runs(t, size)
             yield batch(SPANS, (doc, row, start, n + size - 1))
 
-    dealt = _stretch_rows(docs, lists, kind).repartition("gram").sortWithinPartitions("gram", "bytes", "doc_id")
+    dealt = _stretch_rows(met, kind).repartition("gram").sortWithinPartitions("gram", "bytes", "doc_id")
     spans = dealt.mapInArrow(sort, "doc_id long, row long, start long, length long")
     if lists.where("size(hot_grams) > 0").take(1):
-        windows = materialize(hot_windows(docs, lists, kind), "hot")
+        windows = materialize(hot_windows(met, kind), "hot")
         first = materialize(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first")), "first")
         more = windows.join(first, ["a", "b"]).where("doc_id > first")
-        spans = spans.unionByName(more.select("doc_id", "row", "start", F.lit(size).cast("long").alias("length")))
-    stored = materialize(spans, "spans")
-    drop(lists)
-    return stored
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 16, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept is the text without repeated bytes, as bytes.
-
-    A byte goes if a window of ``size`` bytes that covers it also starts in a document of smaller id; windows are
-    judged on the input. Stretches of windows are dealt out by minimizer, and their suffixes radix-sorted through
-    ``size`` bytes; windows of minimizers with more than ``hot`` places are told apart by a 128-bit hash instead, in
-    aggregates. Null texts are empty; rows of equal doc_id do not bear on each other; rows without doc_id keep all
-    and are nobody's source; an empty table gives an empty one.
-    """
-    own = keyed(docs, id_col, text_col)
-    spans = repeated_spans(own, size, gram, hot)
+        more = materialize(more.select("doc_id", "row", "start", F.lit(size).cast("long").alias("length")), "spans")
+        drop(windows, first)
+        spans = spans.unionByName(more)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            row, copies = b.column(1).to_numpy(), Copies(b.column(3))
+            where: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
+            if copies.some:
+                tokens, at = byte_tokens(b.column(2))
+                for text, first, n, _, whole in stretches(tokens, at, kind):
+                    keep = np.flatnonzero(copies.flags(text, whole))
+                    bound = runs([text[keep]])
+                    for lo, hi in zip(bound[:-1], bound[1:]):
+                        i, own = int(text[keep[lo]]), keep[lo:hi]
+                        where[i].append((first[own] - at[i], n[own] + size - 1))
             rows = []
-            for t, starts, lengths in zip(texts(b.column(1)), lists_of(b.column(2)), lists_of(b.column(3))):
+            for i, (t, *found) in enumerate(zip(texts(b.column(2)), *(lists_of(b.column(c)) for c in (4, 5, 6)))):
+                mine = found[0] == row[i]
+                where[i].append((found[1][mine], found[2][mine]))
+                starts, lengths = (np.concatenate(x) for x in zip(*where[i]))
+                if not len(starts):
+                    rows.append((len(t), 0, 0, t))
+                    continue
                 gone = covered(len(t), starts, lengths)
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes() if len(starts) else t
-                rows.append((len(t), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), kept))
+                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+                rows.append((len(t), len(t) - len(kept), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)), kept))
             if rows:
                 yield batch(schema, (b.column(0), *zip(*rows)))
 
-    return with_spans(own, spans, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    full = met.select("doc_id", "row", "text", "copies").join(span_lists(spans), "doc_id", "left")
+    full = full.select("doc_id", "row", "text", "copies", "rows", "starts", "lengths")
+    return full.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def test_matches_brute_force(spark, monkeypatch, size, gram, hot, part):
         at = np.array([0, 30, 30, 500, 520])
         tokens = np.random.default_rng(1).integers(0, 2**63, 520).astype(np.uint64)
         kind = windows.Tokens(size, gram, windows.byte_tokens)
-        small = sorted(x for s in windows.stretches(tokens, at, kind) for t, f, n, _ in zip(*s) for x in [(int(t), int(f) + j) for j in range(n)])
+        small = sorted(x for s in windows.stretches(tokens, at, kind) for t, f, n, *_ in zip(*s) for x in [(int(t), int(f) + j) for j in range(n)])
         assert small == [(t, i) for t in range(4) for i in range(at[t], at[t + 1] - size + 1)]
     got = sorted((tuple(r) for r in digest(suffix_dedup(docs, size=size, gram=gram, hot=hot)).collect()), key=repr)
     assert got == brute(rows, size)
