@@ -13,6 +13,8 @@ from .lines import digest as line_digest
 from .lines import line_dedup
 from .neighbours import nearest
 from .packing import pack
+from .privacy import digest as private_digest
+from .privacy import find_private
 from .simhash import simhash_groups
 from .suffixes import digest as suffix_digest
 from .suffixes import suffix_dedup
@@ -60,6 +62,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(line_dedup(table(spark, sf_dir, "documents")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_digest(find_private(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_nearest": op8_nearest,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are held against brute force in tests/llm.
