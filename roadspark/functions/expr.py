@@ -152,7 +152,7 @@ def destination_type(office: Column, shop: Column, amenity: Column) -> Column:
 
 def hex_to_rgb(colour: Column) -> Column:
     """"#rrggbb" as "r,g,b"."""
-    part = lambda at: F.conv(F.substring(F.ltrim(F.lit("#"), colour), at, 2), 16, 10)
+    part = lambda at: F.conv(F.substring(F.regexp_replace(colour, "^#", ""), at, 2), 16, 10)
     return F.concat_ws(",", part(1), part(3), part(5))
 
 
