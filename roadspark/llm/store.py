@@ -103,3 +103,19 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     made = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
+
+
+class Kept(dict):
+    """What a Python worker keeps from batch to batch; a worker serves many stages, and keeps one of these at a time."""
+
+    _last: "Kept | None" = None
+
+    def ready(self, most: int) -> "Kept":
+        """To be called for each batch or text: lets go of what another operator kept, and of this beyond ``most``."""
+        if Kept._last is not self:
+            if Kept._last is not None:
+                Kept._last.clear()
+            Kept._last = self
+        if len(self) > most:
+            self.clear()
+        return self

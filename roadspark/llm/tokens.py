@@ -9,8 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from .store import Kept
+
 #: Runs kept by a worker, and the longest run kept.
-KEPT, LONGEST = 1_000_000, 64
+KEPT, LONGEST = 400_000, 64
 
 
 #: Below this, letters are the same to every Unicode version and change case one by one.
@@ -21,7 +23,7 @@ def _latin(text: str) -> bool:
     return text.isalpha() and max(text) < LATIN_END
 
 
-class _Ids(dict):
+class _Ids(Kept):
     """Ids of runs of characters other than white space; unknown ones are encoded when they are asked for.
 
     A run of Latin letters is one word to the vocabulary's splitter, so its model can be asked directly; a stop or
@@ -61,9 +63,7 @@ def id_bytes(path: str, text: bytes) -> bytes:
     The vocabulary drops white space and never joins across it, so each run of other characters has the same ids
     wherever it stands; a worker keeps those of short runs.
     """
-    known = _ids(path)
-    if len(known) > KEPT:
-        known.clear()
+    known = _ids(path).ready(KEPT)
     return b"".join(map(known.__getitem__, text.split()))
 
 

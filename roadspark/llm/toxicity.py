@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import batch, bounded_batches, drop, materialize, texts
+from .store import Kept, batch, bounded_batches, drop, materialize, texts
 
 #: Labelled rows that the grammar is fitted on at most: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -20,11 +20,16 @@ SAMPLE = 20_000
 CANDIDATES = 4_000
 #: A term enters if so many toxic texts hold it and this share of its texts is toxic.
 SUPPORT, PRECISION = 3, 0.9
+#: Terms that a task counts before it passes the counts on.
+COUNTED = 100_000
 #: How often each toxic text should be covered by chosen terms.
 DEPTH = 3
 #: Lengths of word beginnings that are terms beside whole words, for languages that compound and inflect.
 STEMS = (4, 5, 6, 7, 8)
 
+#: Words whose classes a worker keeps.
+KEPT = 150_000
+
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 CLOSED_CLASSES = {
     THREAT: "kill hurt destroy beat punch töten schlagen umbringen tuer frapper détruire matar golpear destruir",
@@ -92,7 +97,7 @@ def grammar() -> Transducer:
     return insults().compose(threats()).compose(near(TARGET)).compose(near(NEGATION)).compose(reported())
 
 
-class _Symbols(dict):
+class _Symbols(Kept):
     """The class of each word, and its weight if it is an insult; found when asked for and kept."""
 
     def __init__(self, lexicon: dict[bytes, float]):
@@ -103,8 +108,6 @@ class _Symbols(dict):
         lexicon = self.lexicon
         weight = max((lexicon[t] for t in terms_of(word) if t in lexicon), default=0.0)
         found = (INSULT, weight) if weight else (self.closed.get(word, OTHER), 0.0)
-        if len(self) > 400_000:
-            self.clear()
         self[word] = found
         return found
 
@@ -137,7 +140,7 @@ class Grammar:
             self._symbols, self._machine = _Symbols(self.lexicon), grammar()
         out = np.zeros(N_FEATURES)
         out[0] = 1
-        clean, symbols = normalised(text), self._symbols
+        clean, symbols = normalised(text), self._symbols.ready(KEPT)
         if not {s for s, _ in set(map(symbols.__getitem__, clean.split()))} & {INSULT, THREAT}:
             return out
         total = most = threat = hit = clauses = 0.0
@@ -222,13 +225,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
+
+        def told(least: int) -> Iterator[pa.RecordBatch]:
+            for toxic, own in seen.items():
+                if len(own) > least:
+                    found, zero = list(own), [0] * len(own)
+                    yield batch(schema, (found, list(own.values()) if toxic else zero, zero if toxic else list(own.values())))
+                    own.clear()
+
         for b in batches:
             for toxic, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 seen[int(toxic == 1)].update({x for w in set(normalised(t).split()) for x in terms_of(w)})
-        found = list(seen[1])  # a term of no toxic text here may still be one elsewhere, but then counts there
-        yield batch(schema, (found, [seen[1][t] for t in found], [0] * len(found)))
-        found = list(seen[0])
-        yield batch(schema, (found, [0] * len(found), [seen[0][t] for t in found]))
+                yield from told(COUNTED)
+        yield from told(0)
 
     counted = rows.mapInArrow(count, "term binary, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}

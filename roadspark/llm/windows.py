@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hamming import runs
-from .store import batch, bounded_batches, materialize, texts, utf8
+from .store import Kept, batch, bounded_batches, materialize, texts, utf8
 
 #: Tokens handled at once; longer texts are cut into overlapping parts.
 PART = 1 << 16
@@ -126,10 +126,8 @@ def byte_tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _BYTES[data[at[0] : at[-1]]], at - at[0]
 
 
-class _WordHashes(dict):
+class _WordHashes(Kept):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
         found = xxhash.xxh64_intdigest(word, 13)
         if len(word) <= 64:
             self[word] = found
@@ -137,11 +135,13 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+#: Words whose hashes a worker keeps.
+KEPT = 300_000
 
 
 def word_tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words are what ASCII white space parts."""
-    get, made, at = _words.__getitem__, [], [0]
+    get, made, at = _words.ready(KEPT).__getitem__, [], [0]
     for t in texts(col):
         own = t.split()
         made.append(np.fromiter(map(get, own), np.uint64, len(own)))
