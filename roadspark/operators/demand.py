@@ -94,6 +94,13 @@ def purpose_shares(counts: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.when(total > 0, F.col("trips") / total).otherwise(F.raise_error(F.lit("a region has no trips"))))
 
 
+def fitting(destinations: DataFrame, types: DataFrame) -> DataFrame:
+    """``destinations`` with each purpose (purpose, types) that they serve; "*" stands for every type. The purposes are
+    a literal table of nine rows."""
+    fits = F.array_contains("types", "*") | F.array_contains("types", F.col("dest_type"))
+    return destinations.crossJoin(F.broadcast(types)).where(fits).drop("types")
+
+
 def tours(draws: DataFrame, residential: DataFrame, destinations: DataFrame, nodes: DataFrame, seed: int = 12, beta: Column | float = dims.DEFAULT_BETA, max_dist: float | None = None) -> DataFrame:
     """(*keys, o, d): both legs of each home-based tour; tours whose ends snap to one node vanish.
 
@@ -114,7 +121,7 @@ def tours(draws: DataFrame, residential: DataFrame, destinations: DataFrame, nod
     purposes = cumulative(dims.purpose_counts(spark), "trips", ["region"], ["purpose"])
     own = weighted_pick(own.withColumn("_u", u("purpose")), purposes.drop("trips"), "_u", ["region"])
     types = dims.purpose_types(spark)
-    fits = destinations.crossJoin(F.broadcast(types)).where(F.array_contains("types", "*") | F.array_contains("types", F.col("dest_type"))).select("dest_id", F.col("x").alias("dx"), F.col("y").alias("dy"), "region", "purpose")
+    fits = fitting(destinations, types).select("dest_id", F.col("x").alias("dx"), F.col("y").alias("dy"), "region", "purpose")
     met = own.join(fits, ["region", "purpose"], "left")
     far = geom.distance(F.col("hx"), F.col("hy"), F.col("dx"), F.col("dy"))
     met = met.withColumn("_far", far) if max_dist is None else met.withColumn("_far", F.when(far <= max_dist, far))

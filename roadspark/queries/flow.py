@@ -350,3 +350,80 @@ def str_hourly_demand(spark, d):
     return cut(spark.table(name).selectExpr("cast(begin as timestamp_ntz) as begin", "o", "d", "w"))
 
 
+
+
+# -- more of demand and charts -------------------------------------------------------------------------------------
+
+KINDS = ", ".join(f"'{a}'" for a in dims.AMENITIES)
+
+
+@query(f"""select node_id, case when node_id % 5 = 0 then 'work' when node_id % 5 = 1 then 'shop' when a in ({KINDS}) then a else 'other' end as dest_type
+  from (select node_id, case node_id % 3 when 0 then 'bank' when 1 then 'parking' else 'school' end as a from fx_nodes) t""")
+def prj_destination_type(spark, d):
+    from ..functions.expr import destination_type
+
+    n = fx.nodes(spark, d)
+    office, shop = F.when(F.col("node_id") % 5 == 0, "yes"), F.when(F.col("node_id") % 5 == 1, "yes")
+    amenity = F.when(F.col("node_id") % 3 == 0, "bank").when(F.col("node_id") % 3 == 1, "parking").otherwise("school")
+    return n.select("node_id", destination_type(office, shop, amenity).alias("dest_type"))
+
+
+@query("select o, d, sum(w) as w from (select o, d, w from fx_od union all select o, d, -w from fx_od where w < 2 union all select d, o, w from fx_od) t group by o, d having sum(w) > 0")
+def set_add_demand(spark, d):
+    od = fx.od(spark, d)
+    return dm.add_od(od, od.where("w < 2").select("o", "d", (-F.col("w")).alias("w")), od.select(F.col("d").alias("o"), F.col("o").alias("d"), "w"))
+
+
+@query(f""", total as (select o, d, sum(w) as w from fx_time group by o, d), flows as (select a.region as origin, b.region as destination, sum(w) as flow from total {AT} group by 1, 2),
+ names as (select origin as n from flows union select destination from flows)
+ select p.n as origin, q.n as destination, coalesce(flow, 0) as flow from names p cross join names q left join flows on p.n = origin and q.n = destination""")
+def agg_total_matrix(spark, d):
+    return ag.total_matrix(fx.timeline(spark, d), fx.nodes(spark, d))
+
+
+@query(f"""select f.o, f.d, f.w, m.region as origin, n.region as destination from fx_od f left join fx_nodes m on o = m.node_id left join fx_nodes n on d = n.node_id""")
+def jn_od_regions(spark, d):
+    at = fx.nodes(spark, d).select("node_id", "region")
+    return fx.od(spark, d).join(at.toDF("o", "origin"), "o", "left").join(at.toDF("d", "destination"), "d", "left").select("o", "d", "w", "origin", "destination")
+
+
+@query("select * from (values (2.0e0, 10.0e0)) t(beta, abs_error)", "")
+def agg_best_beta(spark, d):
+    return ag.best_by_error(spark.createDataFrame([(1.0, 40.0), (3.0, 10.0), (2.0, 10.0)], "beta double, abs_error double"))
+
+
+@query("""select 'a' as scenario, l_orderkey as time, case when l_quantity * 2 >= 10 then l_quantity * 2 end as value from lineitem where l_orderkey < 50
+ union all select 'b', l_orderkey, case when l_quantity * 2 >= 10 then l_quantity * 2 end from lineitem where l_orderkey < 20""", "")
+def pl_compare_runs(spark, d):
+    own = spark.read.parquet(f"{d}/lineitem.parquet")
+    runs = {"a": own.where("l_orderkey < 50"), "b": own.where("l_orderkey < 20"), "c": own.select("l_orderkey")}
+    return charts.compare_runs(runs, "l_quantity", 2.0, 10.0, "l_orderkey")
+
+
+@query("select model, iteration, value from (select l_returnflag as model, l_orderkey as iteration, l_tax * 100 as value, dense_rank() over (order by l_returnflag) as r from lineitem) t where r <= 2", "")
+def pl_metric_series(spark, d):
+    own = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.col("l_orderkey").alias("iteration"), "l_tax")
+    return charts.metric_series(own, "l_tax", "l_returnflag", 100.0, 2)
+
+
+@query("select region, purpose, dest_type from (select r_name as region from region) a, (values ('bank'), ('shop'), ('other')) t(dest_type), (values ('shopping'), ('other'), ('escort_other'), ('personal_errands')) p(purpose) where purpose = 'escort_other' or (purpose = 'shopping' and dest_type = 'shop') or (purpose = 'other' and dest_type = 'other') or (purpose = 'personal_errands' and dest_type = 'bank')", "")
+def flt_destinations(spark, d):
+    there = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("region")).crossJoin(spark.createDataFrame([("bank",), ("shop",), ("other",)], "dest_type string"))
+    types = dims.purpose_types(spark).where("purpose in ('shopping', 'other', 'escort_other', 'personal_errands')")
+    return dm.fitting(there, types).select("region", "purpose", "dest_type")
+
+
+@query()
+def agg_safe_matrix(spark, d):
+    return ag.safe_matrix(ag.od_matrix(fx.od(spark, d), fx.nodes(spark, d), "locality"))
+
+
+@query()
+def prj_clean_simplified(spark, d):
+    """The whole cleaning of a network of raw tags."""
+    from .network import _raw
+
+    raw = _raw(spark, d).withColumn("lanes", F.array(F.col("lanes").cast("string"))).withColumn("junction", F.lit(None).cast("string"))
+    n = fx.nodes(spark, d)
+    arcs, _ = prep.clean_simplified(raw, n, n.select("node_id", "elevation"))
+    return arcs.select("u", "v", "k", "highway", "car_lanes", "bike_lanes", "safety", "rule", F.round("bike_cost_penalty", 6).alias("bike_cost_penalty"))
