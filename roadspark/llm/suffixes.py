@@ -102,7 +102,7 @@ def _stretch_rows(met: DataFrame, kind: Tokens) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, row = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            ids, row = b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy()  # rows without id have no lists
             compared, copies = list(lists_of(b.column(3))), Copies(b.column(4))
             if not any(map(len, compared)):
                 continue

@@ -61,5 +61,12 @@ def test_radix_passes_end_at_the_depth():
         assert sorted(radix_groups(data, starts, np.zeros(3, int), depth)[0].tolist()) == equal
 
 
+def test_large_ids_beside_a_missing_one(spark):
+    said = "".join(random.Random(2).choice("abcdefgh ") for _ in range(300))
+    rows = [(2**53 + 1, said[:200] + "x" * 9), (2**53 + 3, said[50:]), (None, said), (2**53 + 2, said[100:])]
+    got = sorted((tuple(r) for r in digest(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()), key=repr)
+    assert got == brute(rows, 50)
+
+
 def test_empty_table(spark):
     assert digest(suffix_dedup(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
