@@ -24,6 +24,11 @@ def blocks(parts: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(cut, cut[1:])]
 
 
+def table_bits(parts: int, radius: int) -> int:
+    """The bits below the number of the table in a key."""
+    return max(sum(bits for _, bits in chosen) for chosen in combinations(blocks(parts), parts - radius))
+
+
 def planes(fps: np.ndarray) -> list[int]:
     """Bit planes: the i-th bit of plane b is bit b of the i-th fingerprint."""
     rows = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -67,11 +72,30 @@ def within(vertical: list[int], shift: int, alive: int, radius: int) -> int:
     return alive & ~above
 
 
-def forest(fps: np.ndarray, group: np.ndarray, largest: int, radius: int, verify: Callable[[int, int], bool] | None = None) -> np.ndarray:
+def _roots_of(root: np.ndarray, i: int) -> int:
+    while root[i] != i:
+        i = root[i]
+    return i
+
+
+def _join(root: np.ndarray, hit: np.ndarray, shift: int, verify: Callable[[int, int], bool] | None) -> np.ndarray:
+    """Union the rows of each hit with the row ``shift`` below it, unless they are connected already."""
+    hit = hit[root[hit] != root[hit + shift]]
+    if not len(hit):
+        return root
+    for i, j in zip(hit.tolist(), (hit + shift).tolist()):
+        a, b = _roots_of(root, i), _roots_of(root, j)
+        if a != b and (verify is None or verify(i, j)):
+            root[max(a, b)] = min(a, b)
+    while not np.array_equal(root, up := root[root]):
+        root = up
+    return root
+
+
+def forest(fps: np.ndarray, group: np.ndarray, largest: int, radius: int) -> np.ndarray:
     """For each row the first row of its component among the rows of its group, linked within the radius.
 
-    Rows of a group are neighbours; no group has more than ``largest`` rows. ``verify`` has the last word on a link;
-    it isn't asked about rows that are connected already.
+    Rows of a group are neighbours; no group has more than ``largest`` rows. Distances are counted bit-sliced.
     """
     n = len(fps)
     root = np.arange(n)
@@ -81,26 +105,38 @@ def forest(fps: np.ndarray, group: np.ndarray, largest: int, radius: int, verify
         alive = _int(same)
         if not alive:
             break
-        hit = _bits(within(vertical, shift, alive, radius), n)
-        hit = hit[root[hit] != root[hit + shift]]
-        if not len(hit):
-            continue
-        for i, j in zip(hit.tolist(), (hit + shift).tolist()):
-            a, b = i, j
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            if a != b and (verify is None or verify(i, j)):
-                root[max(a, b)] = min(a, b)
-        while not np.array_equal(root, up := root[root]):
-            root = up
+        root = _join(root, _bits(within(vertical, shift, alive, radius), n), shift, None)
     return root
 
 
+def verified_forest(fps: np.ndarray, bound: np.ndarray, table: np.ndarray, radius: int, parts: int, verify: Callable[[int, int], bool] | None) -> np.ndarray:
+    """As :func:`forest` for groups that begin at each bound, pair by pair, where ``verify`` has the last word on a link.
+
+    A pair that agrees in the blocks of several tables is left to the first of them, so it is verified once.
+    """
+    n = len(fps)
+    root, end, at, shift = np.arange(n), np.repeat(bound[1:], np.diff(bound)), np.arange(n), 1
+    tables = list(combinations(blocks(parts), parts - radius))
+    while True:
+        at = at[at + shift < end[at]]
+        if not len(at):
+            return root
+        differ = fps[at] ^ fps[at + shift]
+        near = np.bitwise_count(differ) <= radius
+        hit, differ = at[near], differ[near]
+        if verify and len(hit):
+            first = np.full(len(hit), len(tables))
+            for number in reversed(range(len(tables))):
+                mask = np.uint64(sum(((1 << bits) - 1) << lo for lo, bits in tables[number]))
+                first[(differ & mask) == 0] = number
+            hit = hit[first == table[hit]]
+        root = _join(root, hit, shift, verify)
+        shift += 1
+
+
 def parts_for(rows: int) -> int:
-    """Blocks so many that buckets of evenly spread fingerprints stay small; any number gives the same links."""
-    return 4 if rows < 1 << 24 else 5 if rows < 1 << 33 else 6
+    """Blocks so many that buckets stay small, though fingerprints are not spread evenly; any number gives the same links."""
+    return 4 if rows < 1 << 22 else 5 if rows < 1 << 26 else 6 if rows < 1 << 32 else 7
 
 
 def bucket_cells(fps: DataFrame, fp: str, radius: int, parts: int, chunk: int) -> DataFrame:
@@ -109,12 +145,12 @@ def bucket_cells(fps: DataFrame, fp: str, radius: int, parts: int, chunk: int) -
     Of ``parts`` blocks at most ``radius`` differ, so some ``parts - radius`` blocks agree: one key for each choice.
     Keys of a single row go; a key of more than ``chunk`` rows is dealt out as all pairs of its chunks.
     """
-    keys = []
+    keys, width = [], table_bits(parts, radius)
     for number, chosen in enumerate(combinations(blocks(parts), parts - radius)):
-        key = F.lit(number).cast("long")
+        key = F.lit(0).cast("long")
         for lo, bits in chosen:
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << bits) - 1)))
-        keys.append(key)
+        keys.append(key.bitwiseOR(F.lit(number << width)))
     spread = fps.withColumn("key", F.explode(F.array(*keys)))
     counts = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     if parts == 4 and radius == 3:  # four blocks of 16 bits have 2**18 keys at most, 4 MB
@@ -168,36 +204,38 @@ def hamming_links(
     radius: int = 3,
     parts: int = 5,
     chunk: int = CHUNK,
+    sliced: bool = True,
     text: str | None = None,
     verify: Callable[[bytes, bytes], bool] | None = None,
 ) -> DataFrame:
     """(a, b) links that span the components of fingerprints within ``radius`` bits; node tells the rows apart.
 
     Within a cell, a component of m rows gives m - 1 links to its first row, never all pairs; every pair within the
-    radius is compared in some cell, so no link between different fingerprints is lost. ``verify`` has the last word
-    on each link, from the two rows' ``text``.
+    radius is compared in some cell, so no link between different fingerprints is lost. ``sliced`` compares bit
+    planes; else pairs are counted one by one, and ``verify`` has the last word on each, from the rows' ``text``.
     """
     kind = fps.schema[node].dataType.simpleString()
+    width = table_bits(parts, radius)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key", "cell"]):
+        for t in whole_groups(batches, ["key", "cell"], 20_000 if verify else 50_000):
             key, cell = (t.column(c).to_numpy() for c in ("key", "cell"))
             value, ids = t.column("fp").to_numpy().view(np.uint64), t.column("node").combine_chunks()
             at = runs([key, cell])
-            size = np.diff(at)
-            group = np.repeat(np.arange(len(size)), size)
-            root = np.arange(len(value))
-            said = [x.encode() for x in t.column("text").to_pylist()] if verify else None
-
-            def own_verify(places: np.ndarray) -> Callable[[int, int], bool] | None:
-                return (lambda i, j: verify(said[places[i]], said[places[j]])) if verify else None
-
-            if (few := size[group] < SMALL).any():
-                own = np.flatnonzero(few)
-                root[own] = own[forest(value[own], group[own], SMALL, radius, own_verify(own))]
-            for g in np.flatnonzero(size >= SMALL):
-                own = np.arange(at[g], at[g + 1])
-                root[own] = own[forest(value[own], group[own], len(own), radius, own_verify(own))]
+            if sliced:
+                size = np.diff(at)
+                group = np.repeat(np.arange(len(size)), size)
+                root = np.arange(len(value))
+                if (few := size[group] < SMALL).any():
+                    own = np.flatnonzero(few)
+                    root[own] = own[forest(value[own], group[own], SMALL, radius)]
+                for g in np.flatnonzero(size >= SMALL):
+                    own = np.arange(at[g], at[g + 1])
+                    root[own] = own[forest(value[own], group[own], len(own), radius)]
+            else:
+                said = [x.encode() for x in t.column("text").to_pylist()] if verify else None
+                check = (lambda i, j: verify(said[i], said[j])) if verify else None
+                root = verified_forest(value, at, key >> width, radius, parts, check)
             linked = np.flatnonzero(root != np.arange(len(root)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(linked)), ids.take(pa.array(root[linked]))], ["a", "b"])

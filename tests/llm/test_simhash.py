@@ -71,3 +71,17 @@ def test_bit_sliced_distance():
             want = np.bitwise_count(fps[:-shift] ^ fps[shift:]) <= radius
             assert [bool(mask >> i & 1) for i in range(300 - shift)] == want.tolist()
     assert len(forest(fps[:0], np.empty(0, int), 5, 3)) == 0
+
+
+def test_pairwise_comparison_finds_the_same():
+    from roadspark.llm.hamming import verified_forest
+
+    draw = np.random.default_rng(9)
+    fps = np.sort(draw.integers(0, 1 << 6, 60).astype(np.uint64) << np.uint64(40))
+    group = np.repeat(np.arange(3), 20)
+    plain = forest(fps, group, 60, 3)
+    assert verified_forest(fps, np.array([0, 20, 40, 60]), np.zeros(60, int), 3, 4, None).tolist() == plain.tolist()
+    asked = []
+    verified_forest(fps, np.array([0, 20, 40, 60]), np.zeros(60, int), 3, 4, lambda i, j: asked.append((i, j)) or False)
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if i // 20 == j // 20 and int(fps[i] ^ fps[j]).bit_count() <= 3]
+    assert sorted(asked) == want
