@@ -173,8 +173,11 @@ def compare_stretches(docs: DataFrame, kind: Tokens, within: bool, hot: int) ->
             ids = b.column(0).to_numpy(zero_copy_only=False)
             tokens, at = kind.hashed(b.column(1))
             for text, first, _, grams, whole in stretches(tokens, at, kind):
-                own = (grams.view(np.int64), whole.view(np.int64), ids[text], first - at[text])
-                yield batch(schema, own[: len(names)])
+                own = (grams.view(np.int64), whole.view(np.int64), ids[text], first - at[text])[: len(names)]
+                if not within:  # places don't matter: a stretch that a text repeats is one row
+                    one = distinct(grams, whole, text)
+                    own = tuple(c[one] for c in own)
+                yield batch(schema, own)
 
     out = pa.schema([("doc_id", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
 
@@ -227,6 +230,14 @@ def compare_stretches(docs: DataFrame, kind: Tokens, within: bool, hot: int) ->
     )
 
 
+def distinct(grams: np.ndarray, whole: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The first of each group of equal rows. Rows are sorted by a mixture of the three, and compared in all of them."""
+    order = np.argsort(mixed(grams ^ whole * _ODD) + text.astype(np.uint64), kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = (grams[order][1:] == grams[order][:-1]) & (whole[order][1:] == whole[order][:-1]) & (text[order][1:] == text[order][:-1])
+    return np.sort(order[~same])
+
+
 def known(text: np.ndarray, values: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
     """Flags of the stretches whose value is in the list of its text."""
     keep = np.zeros(len(text), bool)

@@ -70,3 +70,10 @@ def test_large_ids_beside_a_missing_one(spark):
 
 def test_empty_table(spark):
     assert digest(suffix_dedup(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_equal_stretches_of_a_text_are_one_row():
+    draw = np.random.default_rng(5)
+    rows = draw.integers(0, 3, (3, 400)).astype(np.uint64)
+    kept = windows.distinct(rows[0], rows[1], rows[2].astype(np.int64))
+    assert len({tuple(rows[:, i]) for i in kept}) == len(kept) == len({tuple(r) for r in rows.T})
