@@ -102,24 +102,28 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: in
     """(query, vector, score) of each query's k best other vectors, by exact scores; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
+    first = runs([ids])[:-1]
     for lo in range(0, len(q), 512):
         own, own_ids = q[lo : lo + 512], q_ids[lo : lo + 512]
         near = own @ x.T
         a, b = np.searchsorted(ids, own_ids, "left"), np.searchsorted(ids, own_ids, "right")
         for i in np.flatnonzero(b > a).tolist():
             near[i, a[i] : b[i]] = -np.inf
-        if len(ids) > 2 * k:
-            least = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+        if len(first) > 2 * k:  # the k-th best of different ids: a repeated row takes no other's place
+            each = near if len(first) == len(ids) else np.maximum.reduceat(near, first, axis=1)
+            least = -np.partition(-each, k - 1, axis=1)[:, k - 1]
             least = least - 1e-9 * np.maximum(1, np.abs(least))
         else:
             least = np.full(len(own), -np.finfo(float).max)
         row, col = np.nonzero(near >= least[:, None])
         score = np.einsum("ij,ij->i", own[row], x[col])
-        order = np.lexsort((ids[col], -score, row))
+        order = np.lexsort((-score, ids[col], row))
         row, col, score = row[order], col[order], score[order]
-        once = np.ones(len(row), bool)  # a repeated row counts once
+        once = np.ones(len(row), bool)  # an id counts once, by its best row
         once[1:] = (row[1:] != row[:-1]) | (ids[col][1:] != ids[col][:-1])
         row, col, score = row[once], col[once], score[once]
+        order = np.lexsort((ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
         bound = runs([row])
         place = np.arange(len(row)) - np.repeat(bound[:-1], np.diff(bound))
         top = place < k
@@ -156,9 +160,9 @@ def _probe(rows: DataFrame, probes: np.ndarray, probe_ids: np.ndarray, width: in
                 for q, i, s in best(probes, probe_ids, x, ids, k):
                     yield batch(schema, (q, i, s, [x[at[j]] for j in i.tolist()]))
 
-    found = rows.mapInArrow(run, kinds)
+    found = rows.mapInArrow(run, kinds).groupBy("query", "id").agg(F.max("score").alias("score"), F.max_by("v", "score").alias("v"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return found.dropDuplicates(["query", "id"]).withColumn("rank", rank).where(F.col("rank") <= k).collect()
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).collect()
 
 
 def choose_window(curves: Curves, probes: np.ndarray, probe_ids: np.ndarray, truth: list, target: float) -> tuple[int, int]:

@@ -62,3 +62,28 @@ def test_best_breaks_ties_by_id():
     x = np.ones((50, 2))
     q, i, s = next(best(x[:1], np.array([99]), x, np.arange(50)[::-1], 3))
     assert i.tolist() == [0, 1, 2] and s.tolist() == [2.0] * 3
+
+
+def test_repeated_rows_take_no_place(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    n = 1500
+    x = draw.standard_normal((n, 8))
+    for ids in (np.repeat(np.arange(n), 3), np.concatenate((np.arange(n), np.full(n, 7)))):
+        q, i, s = next(best(x[:20], np.arange(20), x[ids], ids, 20))
+        want = brute(np.arange(n), x, every=1)
+        assert all(i[q == at].tolist() == want[at] for at in range(20))
+    ids = np.repeat(np.arange(n), 3)
+    df = spark.createDataFrame([(int(i), [float(c) for c in x[i]]) for i in ids], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(neighbours, "CELL", 600)
+    got = nearest(df, block=200).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and not got.duplicated(["query_id", "vec_id"]).any()
+    want = brute(np.arange(n), x)
+    assert set(got.query_id) == set(want)
+    hits = sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id"))
+    assert hits / (20 * len(want)) >= 0.9
+
+
+def test_rows_of_one_id_count_by_the_best():
+    x = np.concatenate((np.arange(100.0), np.arange(100.0) - 1000))[:, None]
+    q, i, s = next(best(np.ones((1, 1)), np.array([-1]), x, np.tile(np.arange(100), 2), 5))
+    assert i.tolist() == [99, 98, 97, 96, 95] and s.tolist() == [99.0, 98.0, 97.0, 96.0, 95.0]
