@@ -170,6 +170,18 @@ def disclosures(docs: DataFrame, near: DataFrame, text_col: str, support: int, s
     return met.where(F.col("bits") >= bits).select("value", "term", "share", "bits")
 
 
+def occurrences(docs: DataFrame, id_col: str, text_col: str, acts: DataFrame) -> DataFrame:
+    """(doc_id, row, start, end, act) of each whole word of any text that is a term of ``acts`` (term, act)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    said = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))
+    held = own.select("doc_id", "row", F.explode(said).alias("term")).join(acts, "term")
+    held = held.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.map_from_entries(F.collect_set(F.struct("term", "act"))).alias("acts"))
+    met = own.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    met = met.select("doc_id", "row", "acts", F.explode(F.filter(matches(F.col("text"), WORD), lambda w: F.map_contains_key("acts", F.lower(w["said"])))).alias("w"))
+    return met.select("doc_id", "row", "w.start", "w.end", F.col("acts")[F.lower("w.said")].alias("act"))
+
+
 def find_private(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -181,7 +193,9 @@ def find_private(
     """(doc_id, row, base, spans) of each row: base spans, and all spans with the method's terms, in order.
 
     A span has start, place (of its kind in the list), end, kind and said, in code points, end exclusive; a term's
-    said is what to do with it: generalise or remove. A term that lies in a base span is none. Null texts are empty
+    said is what to do with it: generalise or remove. A word that discloses a value near which it stands is a term at
+    all its occurrences in all texts, and removed if one of its values asks for that; one that lies in a base span is
+    none. Null texts are empty
     and have no spans; repeated rows have the same spans; rows without doc_id are searched like any other; an empty
     table gives an empty one.
     """
@@ -189,7 +203,9 @@ def find_private(
     near = terms_near(base)
     found = materialize(disclosures(docs, near, text_col, support, share, bits), "terms")
     act = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
+    acts = found.groupBy("term").agg(F.max(act).alias("act"))
     hits = near.join(found, ["value", "term"]).select("doc_id", "row", "start", "end", act.alias("act"))
+    hits = hits.unionByName(occurrences(docs, id_col, text_col, acts))
     hits = hits.groupBy("doc_id", "row", "start", "end").agg(F.max("act").alias("act"))
     span = F.struct("start", F.lit(len(KINDS)).alias("place"), "end", F.lit(TERM).alias("kind"), F.col("act").alias("said"))
     terms = hits.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(span).alias("terms"))

@@ -71,3 +71,19 @@ def test_terms_that_disclose(spark):
 
 def test_empty_table(spark):
     assert digest(find_private(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
+
+
+def test_terms_are_found_wherever_they_stand(spark):
+    plain = "plain words about nothing much and other plain words "
+    rows = [(i, plain) for i in range(300)]
+    rows += [(1000 + i, f"the gardener Zebulon wrote plain words to z{i % 2}@mail.org about nothing {plain * 4}by ZEBULON") for i in range(8)]
+    rows += [(2000, "nobody but Zebulon, not Zebulons"), (None, "zebulon"), (2000, "nobody but Zebulon, not Zebulons"), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = find_private(docs, support=3, share=0.2, bits=3).collect()
+    texts = dict(rows)
+    assert len(out) == len(rows)
+    for r in out:
+        text = texts[r["doc_id"]] or ""
+        said = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term" and text[s["start"] : s["end"]].lower() == "zebulon"]
+        assert said == [m.span() for m in re.finditer(r"\bzebulon\b", text.lower())]
+        assert all(a["end"] <= b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
