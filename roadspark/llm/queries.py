@@ -59,7 +59,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_digest(line_dedup(table(spark, sf_dir, "documents")))
+    return line_digest(line_dedup(table(spark, sf_dir, "documents"), sketch=True))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
