@@ -9,6 +9,7 @@ from ..functions.expr import uniform
 from ..state import cut
 from .views import induced, nodes_of
 
+#: Rounds after which distances that still fall are an error, as on a cycle of negative cost.
 ROUNDS = 10_000
 
 
@@ -37,6 +38,8 @@ def distances(hops: DataFrame, sources: DataFrame, paths: bool = False, by: tupl
             break
         rest = reached.join(frontier.select(*by, "src", "node"), [*by, "src", "node"], "left_anti")
         reached = cut(rest.unionByName(frontier))
+    else:
+        raise RuntimeError(f"distances are not final after {ROUNDS} rounds")
     if not paths:
         return reached
     before = reached.select(*by, "src", F.col("node").alias("u"), F.col("dist").alias("d0")).join(hops, [*by, "u"])
@@ -96,26 +99,24 @@ def _spread(hops: DataFrame, start: DataFrame, best) -> DataFrame:
     """(node, label): the best label that reaches each node along the hops; labels start as given."""
     labels, frontier = cut(start), None
     frontier = labels
-    for _ in range(ROUNDS):
+    while True:
         came = frontier.withColumnRenamed("node", "u").join(hops, "u").groupBy(F.col("v").alias("node")).agg(best("label").alias("new"))
         met = came.join(labels, "node")
         frontier = cut(met.where("new > label" if best is F.max else "new < label").select("node", F.col("new").alias("label")))
         if frontier.isEmpty():
             return labels
         labels = cut(labels.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
-    return labels
 
 
 def reachable(arcs: DataFrame, start: DataFrame) -> DataFrame:
     """(node): all nodes reached from the start nodes, themselves included."""
     seen = frontier = cut(start.select("node").distinct())
     hops = cut(arcs.select("u", "v").distinct())
-    for _ in range(ROUNDS):
+    while True:
         frontier = cut(frontier.withColumnRenamed("node", "u").join(hops, "u").select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = cut(seen.unionByName(frontier))
-    return seen
 
 
 def strong_components(arcs: DataFrame) -> DataFrame:

@@ -125,3 +125,13 @@ def test_imputation_stops_when_nothing_changes(spark):
     arcs = made(spark, [(1, 2, 0, 1), (2, 3, 0, 1), (4, 4, 0, 1)])
     got = {r["node_id"]: r["elevation"] for r in graph.impute_by_neighbours(nodes, arcs).collect()}
     assert got == {1: 10.0, 2: 10.0, 3: 10.0, 4: None, 9: None}
+
+
+def test_no_result_is_left_unfinished(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", 2)
+    line = spark.createDataFrame([(i, i + 1, 0, 1.0) for i in range(6)], "u long, v long, k long, length double")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graph.reachable(line, start).count() == 7
+    assert {r["component"] for r in graph.weak_components(line).collect()} in ({0}, {6})
+    with pytest.raises(RuntimeError):
+        graph.distances(graph.cheapest(line), start.toDF("src"))
