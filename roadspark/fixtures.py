@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Every row of lineitem is a survey of a road out of its supplier's junction; roads of one type and end are one arc.
 ARCS = """
-select u, v,
-       cast(row_number() over (partition by u, v order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as bigint) as k,
-       cast(100 + ((l_partkey * 37) % 900) as double) as length,
-       cast(1 + (l_linenumber % 3) as int) as lanes,
+select u, v, cast(row_number() over (partition by u, v order by p_type) - 1 as bigint) as k,
+       cast(100 + cast(sum(l_partkey * 37) as bigint) % 900 as double) as length,
+       cast(1 + count(*) % 3 as int) as lanes,
        case p_type when 'STANDARD' then 'residential' when 'ECONOMY' then 'service' when 'MEDIUM' then 'tertiary'
                    when 'SMALL' then 'secondary' when 'LARGE' then 'primary' else 'cycleway' end as highway,
        p_type <> 'PROMO' as car_allowed,
-       (l_returnflag <> 'R' or p_type = 'PROMO') as bike_allowed
-from (select lineitem.*, l_suppkey as u, (l_partkey * 13 + l_orderkey) % (select count(*) from supplier) as v
-      from lineitem where l_quantity <= 1) t
-join part on l_partkey = p_partkey
-where u <> v
+       p_type = 'PROMO' or sum(case when l_returnflag = 'R' then 3 else 0 end) < count(*) as bike_allowed
+from (select l_suppkey as u, l_partkey, l_returnflag, p_type,
+             case when p_type = 'PROMO' then least(l_suppkey - l_suppkey % 8 + (l_suppkey * 3 + l_linenumber % 2) % 8, n - 1)
+                  else (l_suppkey * 31 + l_linenumber * 17) % n end as v
+      from lineitem join part on l_partkey = p_partkey cross join (select count(*) as n from supplier) c) t
+where u <> v group by u, v, p_type
 """
 
 OD = """
 select o, d, cast(count(*) as double) as w
 from (select l_suppkey as o, o_custkey % (select count(*) from supplier) as d
-      from lineitem join orders on l_orderkey = o_orderkey
-      where l_linenumber = 1 and l_quantity <= 2) t
+      from lineitem join orders on l_orderkey = o_orderkey) t
 where o <> d group by o, d
 """
 

@@ -281,26 +281,26 @@ def win_progress(spark, d):
 
 
 def _log(spark, d):
-    """Every seventh segment gives a lane in each of two iterations."""
+    """Every segment gives a lane in each of two iterations."""
     a = _stock(spark, d)
-    s = a.where("highway <> 'cycleway'").select("seg").distinct().where("seg.u % 7 = 0")
+    s = a.where("highway <> 'cycleway'").select("seg").distinct()
     twice = s.select("seg", F.explode(F.array(F.lit(1), F.lit(2))).alias("iteration"))
     return a, pj.normalise_log(twice.select("iteration", F.lit("reallocated_segment").alias("event_type"), F.col("seg").alias("segment")))
 
 
 @query("""\n, roads as (select *, least(u, v) as a, greatest(u, v) as b from fx_clean), plain as (select *, max(lanes) over (partition by a, b, k) as m from roads where highway <> 'cycleway'),
- ev as (select distinct a, b, k from plain where a % 7 = 0), pairs as (select distinct ev.a, ev.b, ev.k, u, v from ev join roads r on ev.a = r.a and ev.b = r.b and ev.k = r.k),
+ ev as (select distinct a, b, k from plain), pairs as (select distinct ev.a, ev.b, ev.k, u, v from ev join roads r on ev.a = r.a and ev.b = r.b and ev.k = r.k),
  hits as (select p.a, p.b, p.k, 2 * count(distinct pairs.k) as h from plain p join pairs on p.u = pairs.u and p.v = pairs.v group by p.a, p.b, p.k)
  select u, v, k, cast(greatest(0, m - h) as int) as car_lanes, greatest(0, m - h) > 0 as car_allowed, case when m <= h then 'cycleway' else highway end as highway
  from plain join hits using (a, b, k)""")
 def pj_project(spark, d):
     a, log = _log(spark, d)
     out = pj.project(a, a.drop("seg"), log)
-    return out.where("least(u, v) % 7 = 0 and cycleway is not null").select("u", "v", "k", "car_lanes", "car_allowed", "highway")
+    return out.where("cycleway is not null").select("u", "v", "k", "car_lanes", "car_allowed", "highway")
 
 
 @query("""select cast(2 * count(*) as bigint) as events_seen, cast(2 * count(*) as bigint) as events_applied, count(*) as segments_touched, cast(0 as bigint) as missing_simplified, cast(0 as bigint) as missing_unsimplified
- from (select distinct least(u, v), greatest(u, v), k from fx_clean where highway <> 'cycleway' and least(u, v) % 7 = 0) t""")
+ from (select distinct least(u, v), greatest(u, v), k from fx_clean where highway <> 'cycleway') t""")
 def pj_stats(spark, d):
     a, log = _log(spark, d)
     return pj.projection_stats(a, a.drop("seg"), log)
@@ -392,12 +392,12 @@ def agg_best_beta(spark, d):
     return ag.best_by_error(spark.createDataFrame([(1.0, 40.0), (3.0, 10.0), (2.0, 10.0)], "beta double, abs_error double"))
 
 
-@query("""select 'a' as scenario, l_orderkey as time, case when l_quantity * 2 >= 10 then l_quantity * 2 end as value from lineitem where l_orderkey < 50
- union all select 'b', l_orderkey, case when l_quantity * 2 >= 10 then l_quantity * 2 end from lineitem where l_orderkey < 20""", "")
+@query("""select l_returnflag as scenario, l_orderkey as time, case when l_quantity * 2 >= 10 then l_quantity * 2 end as value from lineitem""", "")
 def pl_compare_runs(spark, d):
+    """The runs are the return flags of the table; the last one has no such metric."""
     own = spark.read.parquet(f"{d}/lineitem.parquet")
-    runs = {"a": own.where("l_orderkey < 50"), "b": own.where("l_orderkey < 20"), "c": own.select("l_orderkey")}
-    return charts.compare_runs(runs, "l_quantity", 2.0, 10.0, "l_orderkey")
+    runs = {f: own.where(F.col("l_returnflag") == f) for f in sorted(r[0] for r in own.select("l_returnflag").distinct().collect())}  # three flags
+    return charts.compare_runs(runs | {"none": own.select("l_orderkey")}, "l_quantity", 2.0, 10.0, "l_orderkey")
 
 
 @query("select model, iteration, value from (select l_returnflag as model, l_orderkey as iteration, l_tax * 100 as value, dense_rank() over (order by l_returnflag) as r from lineitem) t where r <= 2", "")

@@ -369,13 +369,13 @@ def geo_measures(spark, d):
     return n.select("node_id", F.round(geom.area(F.col("ring")), 3).alias("area"), F.round(c["x"], 3).alias("cx"), F.round(c["y"], 3).alias("cy"), b["x0"].alias("x0"), b["y1"].alias("y1"))
 
 
-BOXES = "boxes as (select node_id as box, x - 400 as x0, y - 400 as y0 from fx_nodes where node_id % 4 = 1)"
+BOXES = "boxes as (select node_id as box, x - 400 as x0, y - 400 as y0 from fx_nodes)"
 
 
 @query(f", {BOXES} select node_id, cast(box as varchar) as name from fx_nodes, boxes where x > x0 and x < x0 + 1000 and y > y0 and y < y0 + 1000")
 def jn_points_in_polygons(spark, d):
     n = fx.nodes(spark, d)
-    boxes = n.where("node_id % 4 = 1").select(F.col("node_id").cast("string").alias("name"), F.lit("r").alias("region"), _square(F.col("x") - 400, F.col("y") - 400, 1000.0).alias("ring"))
+    boxes = n.select(F.col("node_id").cast("string").alias("name"), F.lit("r").alias("region"), _square(F.col("x") - 400, F.col("y") - 400, 1000.0).alias("ring"))
     points = n.select("x", "y", F.lit(None).cast("string").alias("office"), F.lit(None).cast("string").alias("shop"), F.col("node_id").cast("string").alias("amenity"), "node_id")
     from ..operators.prep import cells
 
@@ -385,12 +385,12 @@ def jn_points_in_polygons(spark, d):
 
 
 @query("""select try as id, arg_min(node_id, (x - px) * (x - px) + (y - py) * (y - py)) as node from (
-   select event_id as try, cast((event_id * 131) % 10007 as double) + 0.25 as px, cast((event_id * 977) % 10009 as double) + 0.25 as py from events where event_id < 500) p, fx_nodes group by try""")
+   select event_id as try, cast((event_id * 131) % 10007 as double) + 0.25 as px, cast((event_id * 977) % 10009 as double) + 0.25 as py from events) p, fx_nodes group by try""")
 def jn_nearest_node(spark, d):
     from ..operators.demand import nearest_node
 
     fx.with_views(spark, d)
-    points = spark.sql("select event_id as id, cast((event_id * 131) % 10007 as double) + 0.25 as x, cast((event_id * 977) % 10009 as double) + 0.25 as y from events where event_id < 500")
+    points = spark.sql("select event_id as id, cast((event_id * 131) % 10007 as double) + 0.25 as x, cast((event_id * 977) % 10009 as double) + 0.25 as y from events")
     return nearest_node(points, fx.nodes(spark, d), ["id"])
 
 
