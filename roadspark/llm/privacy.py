@@ -127,7 +127,8 @@ def listed(spans: Column) -> Column:
 
 
 def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, base, near): the base spans in order, and the padded text around each."""
+    """(doc_id, row, tag, base, near, text, as_is): the base spans in order, the padded text around each, the text if it
+    has some, and a hash of the text. tag tells rows apart once the table is stored."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("row"), "text", F.array_sort(F.concat(*(base_spans(F.col("text"), k) for k in KINDS))).alias("base"))
@@ -136,19 +137,21 @@ def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         first = F.greatest(s["start"] - CONTEXT, F.lit(0))
         said = F.concat(F.when(s["start"] <= CONTEXT, " ").otherwise(""), F.substr("text", (first + 1).cast("int"), (s["end"] - first + CONTEXT).cast("int")))
         said = F.concat(said, F.when(s["end"] + CONTEXT >= F.length("text"), " ").otherwise(""))
-        return F.struct((first - F.when(s["start"] <= CONTEXT, 1).otherwise(0)).alias("from"), F.lower(said).alias("said"))
+        return F.struct((first - F.when(s["start"] <= CONTEXT, 1).otherwise(0)).alias("from"), said.alias("said"))
 
-    return own.select("doc_id", "row", "base", F.transform("base", around).alias("near"))
+    found = F.when(F.size("base") > 0, F.col("text")).alias("text")
+    return own.select("doc_id", "row", F.monotonically_increasing_id().alias("tag"), "base", F.transform("base", around).alias("near"), found, F.sha2("text", 256).alias("as_is"))
 
 
 def terms_near(base: DataFrame) -> DataFrame:
-    """(doc_id, row, value, term, start, end) for each whole word that stands near a value but not within it."""
-    each = base.where("size(base) > 0").select("doc_id", "row", F.inline(F.arrays_zip("base", "near")))
-    each = each.select("doc_id", "row", F.struct(F.col("base.kind"), F.lower("base.said").alias("said")).alias("value"), F.col("base.start").alias("a"), F.col("base.end").alias("b"), "near")
-    words = matches(F.col("near.said"), rf"(?<=\P{{L}}){WORD}(?=\P{{L}})")
-    each = each.select("doc_id", "row", "value", "a", "b", F.col("near.from").alias("from"), F.explode(words).alias("w"))
-    each = each.select("doc_id", "row", "value", "a", "b", F.col("w.said").alias("term"), (F.col("from") + F.col("w.start")).alias("start"), (F.col("from") + F.col("w.end")).alias("end"))
-    return each.where("end <= a or start >= b").drop("a", "b")
+    """(tag, value, term, start) for each whole word that stands near a value but not within it; once for each value,
+    though several of its occurrences are near."""
+    each = base.where("size(base) > 0").select("tag", F.inline(F.arrays_zip("base", "near")))
+    each = each.select("tag", F.struct(F.col("base.kind"), F.lower("base.said").alias("said")).alias("value"), F.col("base.start").alias("a"), F.col("base.end").alias("b"), "near")
+    words = matches(F.col("near.said"), rf"(?<=\P{{L}}){WORD}(?=\P{{L}})")  # places are those of the text as it stands
+    each = each.select("tag", "value", "a", "b", F.col("near.from").alias("from"), F.explode(words).alias("w"))
+    each = each.select("tag", "value", "a", "b", F.lower("w.said").alias("term"), (F.col("from") + F.col("w.start")).alias("start"), (F.col("from") + F.col("w.end")).alias("end"))
+    return each.where("end <= a or start >= b").select("tag", "value", "term", "start").distinct()
 
 
 def disclosures(docs: DataFrame, near: DataFrame, text_col: str, support: int, share: float, bits: float) -> DataFrame:
@@ -159,10 +162,10 @@ def disclosures(docs: DataFrame, near: DataFrame, text_col: str, support: int, s
     """
     joint = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"))
     of_value = joint.groupBy("value").agg(F.sum("n_both").alias("n_value"))
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(WORD), F.lit(0))).alias("term"))
+    words = docs.select(F.explode(F.transform(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(WORD), F.lit(0)), F.lower)).alias("term"))
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     often = joint.where(F.col("n_both") >= support)
-    met = often.join(of_term, "term").withColumn("share", F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")))
+    met = often.join(of_term, "term").withColumn("share", F.col("n_both") / F.col("n_term"))
     met = materialize(met.where(F.col("share") >= share).join(of_value, "value"), "disclosures")
     everything = docs.select(F.sum(F.size(F.split(F.col(text_col).cast("string"), r"\P{L}+"))).alias("n_all"))
     met = met.crossJoin(everything)  # one row
@@ -171,15 +174,17 @@ def disclosures(docs: DataFrame, near: DataFrame, text_col: str, support: int, s
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, acts: DataFrame) -> DataFrame:
-    """(doc_id, row, start, end, act) of each whole word of any text that is a term of ``acts`` (term, act)."""
+    """(d, r, terms, said) of each text that holds a term of ``acts`` (term, act): a span for each whole word that is
+    one, its said being the act, and the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
     said = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))
     held = own.select("doc_id", "row", F.explode(said).alias("term")).join(acts, "term")
     held = held.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.map_from_entries(F.collect_set(F.struct("term", "act"))).alias("acts"))
-    met = own.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
-    met = met.select("doc_id", "row", "acts", F.explode(F.filter(matches(F.col("text"), WORD), lambda w: F.map_contains_key("acts", F.lower(w["said"])))).alias("w"))
-    return met.select("doc_id", "row", "w.start", "w.end", F.col("acts")[F.lower("w.said")].alias("act"))
+    met = own.dropDuplicates(["doc_id", "row"]).join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    words = F.filter(matches(F.col("text"), WORD), lambda w: F.map_contains_key("acts", F.lower(w["said"])))
+    spans = F.transform(words, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("place"), w["end"].alias("end"), F.lit(TERM).alias("kind"), F.col("acts")[F.lower(w["said"])].alias("said")))
+    return met.select("d", "r", spans.alias("terms"), F.col("text").alias("said"))
 
 
 def find_private(
@@ -190,28 +195,27 @@ def find_private(
     share: float = SHARE,
     bits: float = BITS,
 ) -> DataFrame:
-    """(doc_id, row, base, spans) of each row: base spans, and all spans with the method's terms, in order.
+    """(doc_id, row, base, spans, clean, as_is) of each row: base spans, and all spans with the method's terms, in order.
 
     A span has start, place (of its kind in the list), end, kind and said, in code points, end exclusive; a term's
     said is what to do with it: generalise or remove. A word that discloses a value near which it stands is a term at
     all its occurrences in all texts, and removed if one of its values asks for that; one that lies in a base span is
-    none. Null texts are empty
-    and have no spans; repeated rows have the same spans; rows without doc_id are searched like any other; an empty
-    table gives an empty one.
+    none. Words are found in the text as it stands and lowered one by one, so that places hold where lower case is
+    longer; an occurrence near a value counts once, though the value stands on both sides of it. clean is the text
+    after the actions, null where nothing changes; as_is a hash of the text. Null texts are empty and have no spans;
+    repeated rows have the same spans and count each; rows without doc_id are searched like any other; an empty table
+    gives an empty one. Only the two named columns are read, so others may have any name.
     """
     base = materialize(with_base(docs, id_col, text_col), "base")
-    near = terms_near(base)
-    found = materialize(disclosures(docs, near, text_col, support, share, bits), "terms")
+    found = materialize(disclosures(docs, terms_near(base), text_col, support, share, bits), "terms")
     act = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
-    acts = found.groupBy("term").agg(F.max(act).alias("act"))
-    hits = near.join(found, ["value", "term"]).select("doc_id", "row", "start", "end", act.alias("act"))
-    hits = hits.unionByName(occurrences(docs, id_col, text_col, acts))
-    hits = hits.groupBy("doc_id", "row", "start", "end").agg(F.max("act").alias("act"))
-    span = F.struct("start", F.lit(len(KINDS)).alias("place"), "end", F.lit(TERM).alias("kind"), F.col("act").alias("said"))
-    terms = hits.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(span).alias("terms"))
-    met = base.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
+    acts = materialize(found.groupBy("term").agg(F.max(act).alias("act")), "acts")
+    terms = occurrences(docs, id_col, text_col, acts)
+    met = base.drop("tag", "near").join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
     clear = F.filter(F.coalesce("terms", F.array().cast(SPANS)), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return met.select("doc_id", "row", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
+    met = met.select("doc_id", "row", "base", F.array_sort(F.concat("base", clear)).alias("spans"), F.coalesce("text", "said").alias("text"), "as_is")
+    clean = F.when(F.size("spans") > 0, sanitised(F.col("text"), F.col("spans")))
+    return met.select("doc_id", "row", "base", "spans", clean.alias("clean"), "as_is")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -230,11 +234,12 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns from :func:`find_private`."""
+    """The contract's columns from :func:`find_private`, what is done with each term, and a hash of the cleaned text."""
+
     def of_kind(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [of_kind(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
-
-
+    acts = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] == TERM), lambda s: s["said"]), ",")
+    clean = F.coalesce(F.sha2("clean", 256), F.col("as_is"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), acts.alias("actions"), clean.alias("clean_sha256"))

@@ -1,11 +1,15 @@
 """Base spans against Python's patterns, and terms on a corpus where one word gives a value away."""
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
-from roadspark.llm.privacy import digest, find_private, sanitised
+from roadspark.llm.privacy import CONTEXT, REMOVE, digest, find_private, sanitised
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -40,8 +44,6 @@ PIECES = ["a@b.c", "_d@e.f-g", "x.y+z@mail.ex.org", "1.2.3.4", "256.1.1.1", "001
 
 
 def test_base_spans_match_the_patterns(spark):
-    import random
-
     draw = random.Random(6)
     texts = [None, "", "7" * 60_000, "a" * 60_000 + "@", "a@b" + ".c" * 20_000, "+1" + "(" * 50_000, "a@b.co " * 3000]
     texts += ["".join(draw.choice(PIECES) for _ in range(draw.randrange(1, 25))) for _ in range(1500)]
@@ -87,3 +89,62 @@ def test_terms_are_found_wherever_they_stand(spark):
         said = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term" and text[s["start"] : s["end"]].lower() == "zebulon"]
         assert said == [m.span() for m in re.finditer(r"\bzebulon\b", text.lower())]
         assert all(a["end"] <= b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
+
+
+def brute_terms(texts, support, share, bits):
+    """{term: act}, by counting over all texts."""
+    near, total, words = set(), Counter(), 0
+    for row, text in enumerate(texts):
+        text = text or ""
+        words += len(regex.split(r"\P{L}+", text)) if texts[row] is not None else 0
+        found = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"\p{L}{4,}", text)]
+        total.update(w for _, _, w in found)
+        for x in filter(None, brute(text).split(",")):
+            kind, a, b = x.split(":")
+            a, b = int(a), int(b)
+            for s, e, w in found:
+                if (s == 0 or s > a - CONTEXT) and (e == len(text) or e < b + CONTEXT) and (e <= a or s >= b):
+                    near.add((row, (kind, text[a:b].lower()), w, s))
+    joint = Counter((v, w) for _, v, w, _ in near)
+    of_value = Counter()
+    for (v, _), n in joint.items():
+        of_value[v] += n
+    acts = {}
+    for (v, w), n in joint.items():
+        part = n / total[w]
+        if n >= support and part >= share and math.log2(part * words / of_value[v]) >= bits:
+            acts[w] = max(acts.get(w, ""), "remove" if part >= REMOVE else "generalise")
+    return acts
+
+
+def test_co_occurrence_against_counts(spark):
+    """Words and values at random, letters whose lower case is longer, values on both sides of a word, repeated rows."""
+    draw = random.Random(11)
+    names = ["İlkay", "Zebulon", "STRAẞE", "gardener", "Wilhelmina", "İİİİbrucken"]
+    common = ["plain", "words", "about", "nothing", "of", "İ", "much", "more"]
+    texts = [None, "", "İİ met Wilhelmina Zweibrucken near +44 123 456 7890 and left"]
+    for _ in range(250):
+        said = [draw.choice(common) for _ in range(draw.randrange(5, 60))]
+        if draw.random() < 0.4:
+            k = draw.randrange(len(names))
+            at = draw.randrange(len(said))
+            said[at:at] = [f"a{k}@mail.org", names[k], f"A{k}@mail.org"]
+        if draw.random() < 0.1:
+            said.append(draw.choice(names[:-1]))
+        texts.append(draw.choice(["İ", "", " "]) + " ".join(said))
+    texts += texts[-30:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    acts = brute_terms(texts, 3, 0.5, 4)
+    assert len(acts) > 3 and set(acts.values()) == {"remove", "generalise"}
+    for r in find_private(docs, support=3, share=0.5, bits=4).collect():
+        text = texts[r["doc_id"]] or ""
+        base = [s for s in r["spans"] if s["kind"] != "term"]
+        want = [(m.start(), m.end(), acts[m[0].lower()]) for m in regex.finditer(r"\p{L}{4,}", text) if m[0].lower() in acts]
+        want = [w for w in want if not any(b["start"] < w[1] and w[0] < b["end"] for b in base)]
+        assert [(s["start"], s["end"], s["said"]) for s in r["spans"] if s["kind"] == "term"] == want
+        clean, at = "", 0
+        for s in r["spans"]:
+            clean += text[at : s["start"]] + ("" if s["said"] == "remove" and s["kind"] == "term" else f"[{s['kind'].upper()}]")
+            at = s["end"]
+        assert r["clean"] == (clean + text[at:] if r["spans"] else None)
+        assert r["as_is"] == hashlib.sha256(text.encode()).hexdigest()
