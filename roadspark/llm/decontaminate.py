@@ -199,7 +199,8 @@ def contamination(
     are ordered by the number of documents that hold them; a window's rarest shingle is its necessary prefix. Only
     where a document holds it, and the window fits there, are the words compared. Null texts have no words; an item
     without an id marks words, but names no item; an empty benchmark hits nothing. Repeated rows stay repeated, and
-    the other columns of ``docs`` are carried along. A benchmark beyond ``block_bytes`` takes several passes.
+    the other columns of ``docs`` are carried along, whatever their names; a column found is replaced. Of equally rare
+    shingles the least is the prefix. A benchmark beyond ``block_bytes`` takes several passes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -207,18 +208,24 @@ def contamination(
     for block in blocks_of(bench, item_id, item_text, width, block_bytes):
         index = prefixes(block, document_frequency(docs, block, text_col)) if block.items else {}
         finders.append(_finder(spark, block, index))
-    out = docs.select("*", finders[0](F.col(text_col).cast("string")).alias("found"))
-    for number, finder in enumerate(finders[1:]):  # another block's hits join those of the row
-        more = f"found_{number}"
-        out = out.withColumn(more, finder(F.col(text_col).cast("string"))).withColumn(
-            "found",
-            F.struct(
-                F.col("found.n_words").alias("n_words"),
-                merge_spans(F.array_sort(F.concat("found.spans", f"{more}.spans"))).alias("spans"),
-                F.array_sort(F.array_union("found.items", f"{more}.items")).alias("items"),
+    text = F.col(text_col).cast("string")
+    found = finders[0](text) if len(finders) == 1 else _merged([f(text) for f in finders])
+    return docs.select(*(c for c in docs.columns if c != "found"), found.alias("found"))
+
+
+def _merged(each: list[Column]) -> Column:
+    """The findings of several blocks as one."""
+    return F.element_at(
+        F.transform(
+            F.array(F.array(*each)),
+            lambda all_: F.struct(
+                all_[0]["n_words"].alias("n_words"),
+                merge_spans(F.array_sort(F.flatten(F.transform(all_, lambda f: f["spans"])))).alias("spans"),
+                F.array_sort(F.array_distinct(F.flatten(F.transform(all_, lambda f: f["items"])))).alias("items"),
             ),
-        ).drop(more)
-    return out
+        ),
+        1,
+    )
 
 
 def merge_spans(spans: Column) -> Column:

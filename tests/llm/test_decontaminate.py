@@ -49,7 +49,7 @@ def case():
 @pytest.mark.parametrize("block_bytes", [4 << 20, 150])
 def test_matches_brute_force(spark, case, block_bytes):
     docs, items = case
-    d = spark.createDataFrame([(a, b, 1, 2) for a, b in docs], "doc_id long, text string, item_id int, n_words int")
+    d = spark.createDataFrame([(a, b, 1, 2, 3, 4) for a, b in docs], "doc_id long, text string, item_id int, n_words int, found int, found_0 int")
     b = spark.createDataFrame([(a, b, 3) for a, b in items], "item_id long, text string, doc_id int")
     got = sorted((tuple(r) for r in digest(contamination(d, b, block_bytes=block_bytes)).collect()), key=repr)
     assert got == brute(docs, items)
