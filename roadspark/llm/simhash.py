@@ -67,19 +67,16 @@ def simhash_groups(
 
     Two rows are linked if their fingerprints differ in at most ``radius`` bits. Equal fingerprints meet in one
     aggregate that combines before its shuffle; only distinct ones are compared. Null and empty texts have fingerprint
-    0 and are linked like any other; a row without doc_id gets the component of its fingerprint, and null if no row
-    of the component has an id. Repeated rows come back repeated. An empty table gives an empty one.
+    0 and are linked like any other; rows without doc_id link others too, get the component of their fingerprint, and
+    null if no row of the component has an id. Repeated rows come back repeated. Ties do not arise, as a component has
+    one smallest id. An empty table gives an empty one. Only the two named columns are read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    known = distinct.where("rep is not null")
-    roots = connected_components(hamming_links(known, "fp", "rep", radius, chunk=chunk), "a", "b")
-    of_fp = materialize(
-        distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "fp", F.coalesce("root", "rep").alias("component_id")
-        ),
-        "components",
-    )
+    roots = connected_components(hamming_links(distinct, "fp", "fp", radius, chunk=chunk), "a", "b")
+    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
+    least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of_fp = materialize(grouped.join(least, "root").select("fp", "component_id"), "components")
     drop(distinct, roots)
     return rows.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

@@ -52,6 +52,22 @@ def test_groups_match_all_pairs(spark):
         assert got == brute_groups(rows)
 
 
+def test_rows_without_id_link_others(spark):
+    draw = random.Random(17)
+    base = [str(draw.randrange(10**6)) for _ in range(60)]
+    texts = []
+    for _ in range(250):
+        own = list(base)
+        own[draw.randrange(60)] = str(draw.randrange(10**6))
+        texts.append(" ".join(own))
+    fps = [brute_fingerprint(t) for t in texts]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3
+    x, y, z = next((x, y, z) for y in range(250) for x in range(250) if near(x, y) and x != y for z in range(x) if near(y, z) and z != y and not near(x, z))
+    docs = spark.createDataFrame([(10, texts[x]), (None, texts[y]), (4, texts[z]), (None, "far away")], "doc_id long, text string")
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash_groups(docs).collect()}
+    assert got == {(10, f"{fps[x]:016x}"): 4, (None, f"{fps[y]:016x}"): 4, (4, f"{fps[z]:016x}"): 4, (None, f"{brute_fingerprint('far away'):016x}"): None}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_groups(docs).collect() == []
