@@ -17,8 +17,10 @@ from .store import batch, bounded_batches
 SAMPLE, PROBES = 4096, 64
 #: Dimensions and bits of each of a curve's keys, and the curves at hand.
 DIMENSIONS, BITS, CURVES = 8, 7, 4
+#: Curves that are merged at least, as neighbours that one parts may lie together along another.
+LEAST = 2
 #: Rows of a block of consecutive keys as far as the sample tells them apart; blocks at most; rows and queries of a cell.
-BLOCK, BLOCKS, CELL = 1024, 1024, 16384
+BLOCK, BLOCKS, CELL = 128, 1024, 16384
 #: Share of the probes' true neighbours that the window must hold.
 RECALL = 0.95
 
@@ -166,16 +168,17 @@ def _probe(rows: DataFrame, probes: np.ndarray, probe_ids: np.ndarray, width: in
 
 
 def choose_window(curves: Curves, probes: np.ndarray, probe_ids: np.ndarray, truth: list, target: float) -> tuple[int, int]:
-    """(curves, blocks to either side): the cheapest choice whose windows hold ``target`` of the true neighbours."""
+    """(curves, blocks to either side): the cheapest choice of ``LEAST`` curves or more whose windows hold ``target`` of
+    the true neighbours."""
     blocks = max(len(b) for b in curves.borders) + 1
     if not truth:
-        return 1, blocks
+        return min(LEAST, len(curves.axes)), blocks
     at = {i: j for j, i in enumerate(probe_ids.tolist())}
     q = probes[[at[r["query"]] for r in truth]]
     x = np.array([r["v"] for r in truth], float)
     apart = np.array([np.abs(curves.blocks(q, True, c) - curves.blocks(x, False, c)) for c in range(len(curves.axes))])
     choices = []
-    for c in range(1, len(apart) + 1):
+    for c in range(min(LEAST, len(apart)), len(apart) + 1):
         least = apart[:c].min(0)
         for w in range(blocks):
             if (least <= w).mean() >= target:

@@ -87,3 +87,16 @@ def test_rows_of_one_id_count_by_the_best():
     x = np.concatenate((np.arange(100.0), np.arange(100.0) - 1000))[:, None]
     q, i, s = next(best(np.ones((1, 1)), np.array([-1]), x, np.tile(np.arange(100), 2), 5))
     assert i.tolist() == [99, 98, 97, 96, 95] and s.tolist() == [99.0, 98.0, 97.0, 96.0, 95.0]
+
+
+def test_recall_with_production_parameters(spark):
+    """The test table of 2,000 vectors: at least two curves are merged, and 0.9 of the true neighbours are found."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [r for r in df.collect() if r["embedding"] is not None and all(c is not None for c in r["embedding"])]
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    fine = np.isfinite(x).all(1) & (x != 0).any(1)
+    want = brute(ids[fine], x[fine])
+    got = nearest(df).toPandas()
+    assert set(got.query_id) == set(want)
+    hits = sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id"))
+    assert hits / (20 * len(want)) >= 0.9
