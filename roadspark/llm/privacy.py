@@ -181,10 +181,10 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, acts: DataFrame) ->
     said = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))
     held = own.select("doc_id", "row", F.explode(said).alias("term")).join(acts, "term")
     held = held.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.map_from_entries(F.collect_set(F.struct("term", "act"))).alias("acts"))
-    met = own.dropDuplicates(["doc_id", "row"]).join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    met = own.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
     words = F.filter(matches(F.col("text"), WORD), lambda w: F.map_contains_key("acts", F.lower(w["said"])))
     spans = F.transform(words, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("place"), w["end"].alias("end"), F.lit(TERM).alias("kind"), F.col("acts")[F.lower(w["said"])].alias("said")))
-    return met.select("d", "r", spans.alias("terms"), F.col("text").alias("said"))
+    return met.select("d", "r", spans.alias("terms"), F.col("text").alias("said")).dropDuplicates(["d", "r"])  # repeated rows
 
 
 def find_private(
