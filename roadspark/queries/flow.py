@@ -222,12 +222,62 @@ def ev_directness(spark, d):
     return ev.directness(own, bike, crow).withColumn("directness", F.round("directness", 9))
 
 
+def _network_sql() -> str:
+    """All metrics of a network state: the four runs in one recursion, both networks' components, areas by a raster."""
+    nets = {"drive_length": ("car_allowed", "length"), "car": ("car_allowed", "length"), "bike_full": ("bike_allowed", "length * risk_factor"), "bike_protected": (PROTECTED, "length * risk_factor")}
+    runs = " union all ".join(f"select '{n}' as run, u, v, {w} as w from fx_clean where {view}" for n, (view, w) in nets.items())
+    parts = []
+    for n in nets:
+        own, add = f"from cost where run = '{n}'", lambda c: f"coalesce(sum({c}), 0)"
+        routed, missing = add("w * cost"), add("case when cost is null then w end")
+        covered = add("case when cost is not null then w end")
+        parts += [f"(select {x} {own}) as {n}_{c}" for c, x in {
+            "total_cost": f"round({routed} + 25000.0e0 * {missing}, 6)", "routed_cost": f"round({routed}, 6)", "weight": add("w"), "covered_weight": covered, "missing_weight": missing,
+            "covered_pairs": "count(cost)", "missing_pairs": "count(*) - count(cost)", "mean_cost": f"round(({routed} + 25000.0e0 * {missing}) / sum(w), 6)", "mean_routed_cost": f"round({routed} / {covered}, 6)",
+        }.items()]
+    for prefix, net in (("protected", "bike_protected"), ("car_net", "drive_length")):
+        parts += [f"(select {x} from struct_of where run = '{net}') as {prefix}_{c}" for c, x in {"components": "n", "lcc_length": "lcc", "lcc_share": "round(lcc / total, 6)", "total_length": "total", "arcs": "arcs", "nodes": "nodes"}.items()]
+        parts += [f"(select round(10000.0e0 * count(*), 6) from area where run = '{net}') as {prefix}_coverage_area_m2", f"(select round(10000.0e0 * count(*) / 1e6, 6) from area where run = '{net}') as {prefix}_coverage_area_km2"]
+    parts += [
+        "(select round(sum(b.w * c.cost / b.cost) / sum(b.w), 6) from cost b join cost c using (o, d) where b.run = 'bike_full' and c.run = 'drive_length' and b.cost > 0 and c.cost > 0) as main_od_directness_weighted",
+        "(select count(*) from cost b join cost c using (o, d) where b.run = 'bike_full' and c.run = 'drive_length' and b.cost > 0 and c.cost > 0) as main_od_directness_num_pairs",
+        "(select round(sum(case when cost is not null then w end) / sum(w), 6) from cost where run = 'bike_protected') as main_od_protected_reachable_share",
+        "(select sum(case when cost is not null then w end) from cost where run = 'bike_protected') as main_od_protected_reachable_demand",
+        "(select sum(w) from cost where run = 'bike_protected') as main_od_total_demand",
+        "(select count(distinct n) from ends) as protected_endpoints",
+        "(select count(distinct n) from ends where n not in (select u from nets where run = 'bike_protected' union select v from nets where run = 'bike_protected')) as protected_missing_endpoints",
+    ]
+    return f"""with recursive fx_arcs as ({fx.ARCS}), fx_clean as ({fx.CLEAN}), fx_od as ({fx.OD}), fx_nodes as ({fx.NODES}),
+ nets as ({runs}), hops as (select run, u, v, min(w) as w from nets group by run, u, v), ends as (select o as n from fx_od union select d from fx_od),
+ dist(run, src, node, cost) using key (run, src, node) as (
+  select distinct run, o, o, 0.0e0 from fx_od, (select distinct run from nets) union
+  select d.run, d.src, h.v, min(d.cost + h.w) from dist d join hops h on d.node = h.u and d.run = h.run left join recurring.dist r on r.run = d.run and r.src = d.src and r.node = h.v
+  where r.cost is null or d.cost + h.w < r.cost group by d.run, d.src, h.v),
+ cost as (select runs.run, o, d, w, cost from fx_od cross join (select distinct run from nets) runs left join dist on dist.run = runs.run and o = src and d = node),
+ places as (select run, u as x from nets union select run, v from nets), reach(run, a, b) as (select run, x, x from places union select r.run, a, v from reach r join hops h on b = u and r.run = h.run),
+ comp as (select f.run, f.a as node, max(f.b) as c from reach f join reach g on f.run = g.run and f.a = g.b and f.b = g.a group by f.run, f.a),
+ lengths as (select 'bike_protected' as run, u, v, length from fx_clean where {PROTECTED} union all select 'drive_length', u, v, length from fx_clean where car_allowed),
+ inner_ as (select run, max(s) as lcc from (select l.run, sum(length) as s from lengths l join comp x on l.run = x.run and u = x.node join comp y on l.run = y.run and v = y.node where x.c = y.c group by l.run, x.c) t group by run),
+ struct_of as (select l.run, (select count(distinct c) from comp where comp.run = l.run) as n, (select count(*) from comp where comp.run = l.run) as nodes,
+  (select coalesce(max(lcc), 0) from inner_ where inner_.run = l.run) as lcc, sum(length) as total, count(*) as arcs from lengths l group by l.run),
+ sides as (select distinct run, a.x as ax, a.y as ay, b.x - a.x as dx, b.y - a.y as dy from lengths join fx_nodes a on u = a.node_id join fx_nodes b on v = b.node_id),
+ grid as (select run, ax, ay, dx, dy, i, j, (i + 0.5e0) * 100 - ax as px, (j + 0.5e0) * 100 - ay as py from sides, (select unnest(range(-6, 110)) as i) g, (select unnest(range(-6, 110)) as j) h),
+ near as (select *, greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) as t from grid), area as (select distinct run, i, j from near where (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy) <= 250000)
+ select {", ".join(parts)}"""
+
+
+PROTECTED = "safety in ('very_safe', 'safe')"
+
+
 @query()
 def ev_network(spark, d):
-    out = ev.evaluate(_priced(spark, d), fx.od(spark, d))
+    out = ev.evaluate(_priced(spark, d), fx.od(spark, d), nodes=fx.nodes(spark, d))
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
+SQL["ev_network"] = _network_sql()
+
+
 # -- choosing and optimising ---------------------------------------------------------------------------------------
 
 SEGS = "segs as (select distinct least(u, v) as a, greatest(u, v) as b, k from fx_clean where highway <> 'cycleway')"
@@ -413,7 +463,9 @@ def flt_destinations(spark, d):
     return dm.fitting(there, types).select("region", "purpose", "dest_type")
 
 
-@query()
+@query(f""", flows as (select replace(a.locality, ' ', '_') as origin, replace(b.locality, ' ', '_') as destination, sum(w) as flow from fx_od {AT} group by 1, 2),
+ names as (select origin as n from flows union select destination from flows)
+ select p.n as origin, q.n as destination, coalesce(flow, 0) as flow from names p cross join names q left join flows on p.n = origin and q.n = destination""")
 def agg_safe_matrix(spark, d):
     return ag.safe_matrix(ag.od_matrix(fx.od(spark, d), fx.nodes(spark, d), "locality"))
 

@@ -280,6 +280,13 @@ def gr_bridges(spark, d):
     return graph.bridges(views.protected(fx.clean_arcs(spark, d)))
 
 
+SQL["gr_bridges"] = f"""with recursive fx_arcs as ({fx.ARCS}), fx_clean as ({fx.CLEAN}),
+ p as (select least(u, v) as a, greatest(u, v) as b, count(distinct k) as n from fx_clean where safety in ('very_safe', 'safe') group by 1, 2),
+ e as (select a as x, b as y from p union all select b, a from p),
+ walk(a, b, x) as (select a, b, a from p where n = 1 union select w.a, w.b, e.y from walk w join e on e.x = w.x and not (least(e.x, e.y) = w.a and greatest(e.x, e.y) = w.b))
+ select a, b from p where n = 1 and not exists (select 1 from walk w where w.a = p.a and w.b = p.b and w.x = p.b)"""
+
+
 @query()
 def gr_edge_importance(spark, d):
     net = views.drive(fx.clean_arcs(spark, d))
@@ -297,6 +304,11 @@ def gr_largest_component(spark, d):
     return graph.largest_strong_component(views.protected(fx.clean_arcs(spark, d)), True).select(*ARC)
 
 
+SQL["gr_largest_component"] = f"""with {REACH}, comp as (select f.a as node, max(f.b) as c from reach f join reach g on f.a = g.b and f.b = g.a group by f.a),
+ held as (select a.*, x.c from fx_clean a join comp x on u = x.node join comp y on v = y.node where x.c = y.c and safety in ('very_safe', 'safe'))
+ select u, v, k from held where c = (select c from held group by c order by sum(length) desc, c limit 1)"""
+
+
 @query()
 def ev_connectedness(spark, d):
     return connectedness(views.protected(fx.clean_arcs(spark, d)), "protected").withColumn("protected_lcc_share", F.round("protected_lcc_share", 9))
@@ -374,14 +386,13 @@ BOXES = "boxes as (select node_id as box, x - 400 as x0, y - 400 as y0 from fx_n
 
 @query(f", {BOXES} select node_id, cast(box as varchar) as name from fx_nodes, boxes where x > x0 and x < x0 + 1000 and y > y0 and y < y0 + 1000")
 def jn_points_in_polygons(spark, d):
+    from ..operators.demand import destinations_of
+
     n = fx.nodes(spark, d)
     boxes = n.select(F.col("node_id").cast("string").alias("name"), F.lit("r").alias("region"), _square(F.col("x") - 400, F.col("y") - 400, 1000.0).alias("ring"))
-    points = n.select("x", "y", F.lit(None).cast("string").alias("office"), F.lit(None).cast("string").alias("shop"), F.col("node_id").cast("string").alias("amenity"), "node_id")
-    from ..operators.prep import cells
-
-    a = points.select("node_id", "x", "y", F.struct(F.floor(F.col("x") / 1000).cast("long").alias("cx"), F.floor(F.col("y") / 1000).cast("long").alias("cy")).alias("cell"))
-    b = boxes.select("name", "ring", F.explode(cells(F.col("ring"), 1000.0)).alias("cell"))
-    return a.join(b, "cell").where(geom.contains(F.col("ring"), F.col("x"), F.col("y"))).select("node_id", "name")
+    points = n.select("x", "y", F.lit(None).cast("string").alias("office"), F.lit(None).cast("string").alias("shop"), F.col("node_id").cast("string").alias("amenity"))
+    at = n.select("node_id", "x", "y")  # places are different
+    return destinations_of(points, boxes).join(at, ["x", "y"]).select("node_id", F.col("locality").alias("name"))
 
 
 @query("""select try as id, arg_min(node_id, (x - px) * (x - px) + (y - py) * (y - py)) as node from (
@@ -402,7 +413,11 @@ def geo_od_lines(spark, d):
     return lines.select("o", "d", "w", F.round(geom.line_length(F.col("line")), 6).alias("far"))
 
 
-@query()
+@query(""", sides as (select distinct a.x as ax, a.y as ay, b.x - a.x as dx, b.y - a.y as dy from fx_clean join fx_nodes a on u = a.node_id join fx_nodes b on v = b.node_id where safety in ('very_safe', 'safe')),
+ grid as (select *, (i + 0.5e0) * 50 - ax as px, (j + 0.5e0) * 50 - ay as py from sides, (select unnest(range(-5, 210)) as i) g, (select unnest(range(-5, 210)) as j) h),
+ near as (select *, greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) as t from grid),
+ area as (select distinct i, j from near where (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy) <= 40000)
+ select 2500.0e0 * count(*) as area_m2, 2500.0e0 * count(*) / 1e6 as area_km2 from area""")
 def geo_coverage(spark, d):
     from ..operators.evaluate import coverage
 
