@@ -187,9 +187,9 @@ def assign_context(items: DataFrame, polygons: DataFrame, keys: list[str], colum
     rest = items.where("geometry is not null").join(met, keys, "left_anti")
     b = geom.bounds(F.col("geometry"))
     near = nearest_polygon(rest.select(*keys, ((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y")), polygons, keys)
-    names = met.unionByName(near).groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("names"))
-    value = F.col("names") if several else F.array_min("names")
-    return items.join(names, keys, "left").withColumn(column, value).drop("names")
+    names = met.unionByName(near).groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    value = F.col("_names") if several else F.array_min("_names")
+    return items.join(names, keys, "left").withColumn(column, value).drop("_names")
 
 
 def clean_simplified(arcs: DataFrame, nodes: DataFrame, elevation: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

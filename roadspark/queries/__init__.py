@@ -10,12 +10,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from . import flow, network
+    from . import flow, more, network
 
-    return network.QUERIES | flow.QUERIES
+    return network.QUERIES | flow.QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import flow, network
+    from . import flow, more, network
 
-    return network.SQL | flow.SQL
+    return network.SQL | flow.SQL | more.SQL

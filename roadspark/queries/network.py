@@ -287,12 +287,6 @@ SQL["gr_bridges"] = f"""with recursive fx_arcs as ({fx.ARCS}), fx_clean as ({fx.
  select a, b from p where n = 1 and not exists (select 1 from walk w where w.a = p.a and w.b = p.b and w.x = p.b)"""
 
 
-@query()
-def gr_edge_importance(spark, d):
-    net = views.drive(fx.clean_arcs(spark, d))
-    return graph.edge_importance(net, graph.od_paths(net, fx.od(spark, d)))
-
-
 @query()
 def gr_edge_betweenness(spark, d):
     net = views.protected(fx.clean_arcs(spark, d))
