@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import uniform
 from ..state import cut
 from . import views
+from .demand import nearest_node
 from .graph import cheapest, distances, edge_betweenness, strong_components
 from .views import ARC
 
@@ -69,18 +70,34 @@ def argmax(scores: DataFrame) -> DataFrame:
     return scores.orderBy(F.desc("score"), name).limit(1).select("seg")
 
 
+def closest_pairs(left: DataFrame, right: DataFrame, nodes: DataFrame, pairs: int) -> DataFrame:
+    """(a, b, far): the ``pairs`` closest pairs of nodes of two node sets (node), ties by their ids.
+
+    The nearest partners of so many nodes bound the distance: only pairs within it, which meet by an equi-join on grid
+    cells of that size, are ranked. A set of fewer nodes than ``pairs`` meets all of the other one.
+    """
+    at = nodes.where("x is not null and y is not null").select(F.col("node_id").alias("node"), "x", "y")
+    a, b = cut(left.join(at, "node").toDF("a", "ax", "ay")), cut(right.join(at, "node").toDF("b", "bx", "by"))
+    far = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2).alias("far")
+    top = lambda met: cut(met.orderBy("far", "a", "b").limit(pairs))
+    if b.isEmpty() or len(a.limit(pairs).collect()) < pairs:
+        return top(F.broadcast(a).crossJoin(b).select("a", "b", far))  # a few rows
+    near = nearest_node(a.toDF("a", "x", "y"), b.toDF("node_id", "x", "y"), ["a"]).join(a, "a").join(b.withColumnRenamed("b", "node"), "node")
+    bound = max(r["far"] for r in near.select(far).orderBy("far").limit(pairs).collect())
+    size = max(bound, 1.0)
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    around = F.sequence(F.lit(-1), F.lit(1))
+    wide = a.withColumn("i", F.explode(F.transform(around, lambda k: cell("ax") + k))).withColumn("j", F.explode(F.transform(around, lambda k: cell("ay") + k)))
+    met = wide.join(b.withColumn("i", cell("bx")).withColumn("j", cell("by")), ["i", "j"]).select("a", "b", far)
+    return top(met.where(F.col("far") <= bound))
+
+
 def bridge_path(arcs: DataFrame, nodes: DataFrame, left: DataFrame, right: DataFrame, pairs: int = 5, weight: str = "length") -> DataFrame:
     """(pos, u, v) of the cheapest shortest path between the closest pairs of nodes of two node sets (node).
 
-    The candidates are the ``pairs`` closest pairs as the crow flies; every node of the one set keeps its own nearest
-    few before pairs are ranked, so the whole product is never shuffled.
+    The candidates are the ``pairs`` closest pairs as the crow flies, ties by their ids.
     """
-    at = nodes.select(F.col("node_id").alias("node"), "x", "y")
-    a, b = left.join(at, "node").toDF("a", "ax", "ay"), right.join(at, "node").toDF("b", "bx", "by")
-    if b.limit(200_001).count() > 200_000:
-        raise ValueError("a component of over 200,000 nodes needs a grid to find its closest pairs")
-    far = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    close = cut(a.crossJoin(F.broadcast(b)).select("a", "b", far.alias("far")).orderBy("far", "a", "b").limit(pairs))
+    close = closest_pairs(left, right, nodes, pairs)
     reach = cut(distances(cheapest(arcs, weight), close.select(F.col("a").alias("src")), paths=True))
     best = close.join(reach.select(F.col("src").alias("a"), F.col("node").alias("b"), "dist"), ["a", "b"]).orderBy("dist", "far", "a", "b").limit(1)
     row = best.select("a", "b").first()

@@ -135,3 +135,19 @@ def test_no_result_is_left_unfinished(spark, monkeypatch):
     assert {r["component"] for r in graph.weak_components(line).collect()} in ({0}, {6})
     with pytest.raises(RuntimeError):
         graph.distances(graph.cheapest(line), start.toDF("src"))
+
+
+def test_closest_pairs_against_all_pairs(spark):
+    import random
+
+    from roadspark.operators.heuristics import closest_pairs
+
+    draw = random.Random(4)
+    at = {i: (float(draw.randrange(60)), float(draw.randrange(60))) for i in range(120)}
+    nodes = spark.createDataFrame([(i, *p) for i, p in at.items()] + [(500, None, 1.0)], "node_id long, x double, y double")
+    for n, k in ((60, 5), (3, 5), (60, 1), (0, 5)):
+        left, right = list(range(n)), [*range(60, 120), 500]
+        frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "node long")
+        got = [(round(r["far"], 9), r["a"], r["b"]) for r in closest_pairs(frame(left), frame(right), nodes, k).orderBy("far", "a", "b").collect()]
+        far = lambda a, b: round(((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5, 9)
+        assert got == sorted((far(a, b), a, b) for a in left for b in right if b != 500)[:k]
