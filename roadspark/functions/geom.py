@@ -102,6 +102,45 @@ def meets_polygon(line: Column, ring: Column) -> Column:
     return contains(ring, first["x"], first["y"]) | lines_meet(line, ring)
 
 
+def polygons_meet(one: Column, two: Column) -> Column:
+    """Whether two polygons share a point, one inside the other included."""
+    first = F.try_element_at(two, F.lit(1))
+    return meets_polygon(one, two) | contains(one, first["x"], first["y"])
+
+
+def any_contains(rings: Column, x: Column, y: Column) -> Column:
+    """Whether the point is inside one of the rings."""
+    return F.exists(rings, lambda r: contains(r, x, y))
+
+
+def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> Column:
+    """Degrees (WGS 84) as a point in metres of a transverse Mercator zone, by Krueger's series to the third order."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    terms = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    sine, dl = F.sin(F.radians(lat)), F.radians(lon - (6 * zone - 183))
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, a in enumerate(terms, 1):
+        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return point(500000.0 + 0.9996 * radius * east, (1e7 if south else 0.0) + 0.9996 * radius * north)
+
+
+def great_circle(line: Column) -> Column:
+    """Length in metres of a line in degrees, on a sphere of 6,371,009 m."""
+
+    def side(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        h = F.sin(F.radians(b["y"] - a["y"]) / 2) ** 2 + F.cos(F.radians(a["y"])) * F.cos(F.radians(b["y"])) * F.sin(F.radians(b["x"] - a["x"]) / 2) ** 2
+        return 2 * 6371009.0 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+    return _sum(F.transform(sides(line), side))
+
+
 def shifted(line: Column, dx: Column, dy: Column) -> Column:
     return F.transform(line, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
 

@@ -75,6 +75,18 @@ def locality_population(localities: DataFrame, populations: DataFrame) -> DataFr
     return localities.join(F.broadcast(populations.withColumnRenamed("locality", "name")), "name", "left")  # a literal table
 
 
+def population_map(localities: DataFrame, populations: DataFrame) -> DataFrame:
+    """(name, ring, population, density) of each locality; one without residents has neither."""
+    met = density(locality_population(localities, populations), "population")
+    return met.select("name", "ring", F.expr("nullif(population, 0)").alias("population"), "density")
+
+
+def locality_overlay(localities: DataFrame) -> DataFrame:
+    """(name, x, y, outline): where each locality's label stands and its border as text; null rings go."""
+    own = localities.where("ring is not null").withColumn("_c", geom.centroid(F.col("ring")))
+    return own.select("name", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), geom.shape_text(F.col("ring")).alias("outline"))
+
+
 def adjacent_colours(polygons: DataFrame, colours: int = 10) -> list[tuple[str, int]]:
     """A colour for each of some tens of areas such that touching ones differ, first fit by name; beyond 1,000 areas it
     is an error, as this runs on the driver."""

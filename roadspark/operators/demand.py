@@ -191,6 +191,11 @@ def calibration(arcs: DataFrame, od: DataFrame, nodes: DataFrame, target: float
     return matrix, row_shares(matrix), length
 
 
+def random_baseline(arcs: DataFrame, nodes: DataFrame, n: int = 50_000, least: float = 3000.0, seed: int = 12, target: float = dims.TARGET_LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The calibration tables of ``n`` random trips of nodes at least so far apart, to hold the gravity model against."""
+    return calibration(arcs, cut(random_od(nodes, n, least, seed)), nodes, target)
+
+
 def beta_sweep(betas: list[float], n_tours: int, arcs: DataFrame, residential: DataFrame, destinations: DataFrame, nodes: DataFrame, seed: int = 12, target: float = dims.TARGET_LENGTH) -> DataFrame:
     """(beta, avg_length, abs_error) of each beta. All share their draws and one plan, with beta as a key."""
     spark = nodes.sparkSession
@@ -225,6 +230,15 @@ def attach_locality(residential: DataFrame, localities: DataFrame, populations:
     return residential_probability(named.join(populations, "locality", "left"))
 
 
+def residential_polygons(features: DataFrame) -> DataFrame:
+    """(res_id, ring) of features (id, ring): those that touch or overlap are one residence, under the smallest id.
+
+    The rings stay apart, one row each: areas, centroids and points are taken ring by ring."""
+    from .prep import merge_touching
+
+    return merge_touching(features).select(F.col("part").alias("res_id"), "ring")
+
+
 def destinations_of(pois: DataFrame, localities: DataFrame, size: float = 1000.0) -> DataFrame:
     """(x, y, dest_type, locality, region) of points of interest; one may lie in several localities, and localities
     without a region go."""

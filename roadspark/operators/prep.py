@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import expr, geom
 from ..state import cut
-from .graph import bridges, impute_by_neighbours, largest_strong_component
+from .graph import bridges, impute_by_neighbours, largest_strong_component, weak_components
 from .views import ARC, is_true
 
 
@@ -170,14 +170,48 @@ def lines_in_polygons(lines: DataFrame, polygons: DataFrame, keys: list[str], si
     return a.join(b, "cell").where(geom.meets_polygon(F.col("geometry"), F.col("ring"))).select(*keys, "name").distinct()
 
 
-def nearest_polygon(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, name) of the nearest polygon. Polygons are administrative areas: their size is checked before each
-    point meets all of them; beyond 10,000 of them it is an error to ask without a grid."""
-    if polygons.limit(10_001).count() > 10_000:
-        raise ValueError("too many polygons to compare each point with; join by grid cells instead")
+def nearest_polygon(points: DataFrame, polygons: DataFrame, keys: list[str], size: float = 1000.0) -> DataFrame:
+    """(*keys, name) of the nearest polygon to each point (keys, x, y), the first name on ties. Points meet the polygons
+    of their own and the neighbouring cells; those whose best is farther than a cell try again with cells four times as
+    wide. Points without coordinates are left out, and so are all if there are no polygons."""
+    left = cut(points.where("x is not null and y is not null").select(*keys, "x", "y"))
+    areas = polygons.where("ring is not null and size(ring) > 3").select("name", "ring")
+    done = left.select(*keys, F.lit(None).cast("string").alias("name")).limit(0)
+    if areas.isEmpty():
+        return done
     far = geom.polygon_distance(F.col("x"), F.col("y"), F.col("ring"))
-    met = points.crossJoin(F.broadcast(polygons.select("name", "ring")))
-    return met.groupBy(*keys).agg(F.min(F.struct(far.alias("far"), F.col("name"))).alias("m")).select(*keys, "m.name")
+    while not left.isEmpty():
+        near = lambda c: F.sequence(F.floor(F.col(c) / size).cast("long") - 1, F.floor(F.col(c) / size).cast("long") + 1)
+        around = F.flatten(F.transform(near("x"), lambda i: F.transform(near("y"), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+        met = left.withColumn("cell", F.explode(around)).join(areas.withColumn("cell", F.explode(cells(F.col("ring"), size))), "cell")
+        best = met.groupBy(*keys).agg(F.min(F.struct(far.alias("far"), F.col("name"))).alias("m")).where(F.col("m.far") <= size)
+        found = cut(best.select(*keys, "m.name"))
+        done, left, size = done.unionByName(found), cut(left.join(found, keys, "left_anti")), size * 4
+    return done
+
+
+def dissolve(polygons: DataFrame, by: str) -> DataFrame:
+    """(by, rings, area): the polygons of each value as one set of rings; null rings go. What lies in one of the rings
+    lies in the set (:func:`geom.any_contains`). Administrative areas have tens of parts."""
+    parts = polygons.where("ring is not null")
+    return parts.groupBy(by).agg(F.array_sort(F.collect_list("ring")).alias("rings"), F.sum(geom.area(F.col("ring"))).alias("area"))
+
+
+def merge_touching(polygons: DataFrame, size: float = 1000.0) -> DataFrame:
+    """``polygons`` (id, ring) with ``part``: the smallest id of those that touch or overlap each other, directly or
+    through others. Candidates share a grid cell; an exact test follows."""
+    own = cut(polygons.where("ring is not null and size(ring) > 3").select("id", "ring"))
+    at = own.withColumn("cell", F.explode(cells(F.col("ring"), size)))
+    met = at.select(F.col("id").alias("u"), F.col("ring").alias("a"), "cell").join(at.select(F.col("id").alias("v"), F.col("ring").alias("b"), "cell"), "cell").where("u < v")
+    edges = cut(met.where(geom.polygons_meet(F.col("a"), F.col("b"))).select("u", "v").distinct())
+    part = weak_components(edges).toDF("id", "part")
+    return own.join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
+
+
+def reproject(nodes: DataFrame, zone: int, south: bool = False) -> DataFrame:
+    """Degrees in x and y as metres of a zone of the universal transverse Mercator grid."""
+    at = geom.utm(F.col("x"), F.col("y"), zone, south)
+    return nodes.withColumn("_at", at).withColumns({"x": F.col("_at.x"), "y": F.col("_at.y")}).drop("_at")
 
 
 def assign_context(items: DataFrame, polygons: DataFrame, keys: list[str], column: str, several: bool, size: float = 1000.0) -> DataFrame:
@@ -186,17 +220,34 @@ def assign_context(items: DataFrame, polygons: DataFrame, keys: list[str], colum
     met = cut(lines_in_polygons(items, polygons, keys, size))
     rest = items.where("geometry is not null").join(met, keys, "left_anti")
     b = geom.bounds(F.col("geometry"))
-    near = nearest_polygon(rest.select(*keys, ((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y")), polygons, keys)
+    near = nearest_polygon(rest.select(*keys, ((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y")), polygons, keys, size)
     names = met.unionByName(near).groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("_names"))
     value = F.col("_names") if several else F.array_min("_names")
     return items.join(names, keys, "left").withColumn(column, value).drop("_names")
 
 
-def clean_simplified(arcs: DataFrame, nodes: DataFrame, elevation: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The whole cleaning of a simplified network: (arcs, nodes)."""
+def with_places(items: DataFrame, localities: DataFrame, keys: list[str], several: bool) -> DataFrame:
+    """``items`` (keys, geometry) with the localities (name, region, ring) they meet and those localities' regions: as
+    sorted lists, or the first locality and its region. Columns are localities and regions, or locality and region."""
+    name = "localities" if several else "locality"
+    met = assign_context(items, localities, keys, name, several)
+    known = localities.select("name", "region").distinct()
+    if not several:
+        return met.join(known.toDF(name, "region"), name, "left").select(*items.columns, name, "region")
+    own = met.select(*keys, F.explode(name).alias("name")).join(known, "name").groupBy(*keys).agg(F.array_sort(F.collect_set("region")).alias("regions"))
+    return met.join(own, keys, "left").select(*items.columns, name, "regions")
+
+
+def clean_simplified(arcs: DataFrame, nodes: DataFrame, elevation: DataFrame | None = None, localities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole cleaning of a simplified network: (arcs, nodes). With ``localities`` (name, region, ring) arcs get the
+    lists of those that they meet, nodes the first one."""
     nodes = impute_by_neighbours(add_elevation(nodes, elevation), arcs)
     out = ensure_reverse(standard_lanes(fold_tags(fill_geometry(arcs, nodes))))
     out = car_costs(bike_costs(classify_safety(add_grades(out, nodes))))
+    if localities is not None:
+        out = with_places(cut(out), localities, list(ARC), True)
+        at = nodes.drop("locality", "region").withColumn("geometry", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.array(geom.point(F.col("x"), F.col("y")))))
+        nodes = with_places(at, localities, ["node_id"], False).drop("geometry")
     return tag_reallocatable(cut(out)), nodes
 
 

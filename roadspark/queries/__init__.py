@@ -10,12 +10,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from . import flow, more, network
+    from . import files, flow, more, network
 
-    return network.QUERIES | flow.QUERIES | more.QUERIES
+    return network.QUERIES | flow.QUERIES | more.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import flow, more, network
+    from . import files, flow, more, network
 
-    return network.SQL | flow.SQL | more.SQL
+    return network.SQL | flow.SQL | more.SQL | files.SQL

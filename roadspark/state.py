@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the folder is the cluster's ``spark.checkpoint.dir``, on a local master a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; on a local master a temporary folder stands in for one that is not set."""
     if not spark.sparkContext.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: the cluster has to name a shared folder")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="roadspark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for files in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
