@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import batch, bounded_batches, texts
+from .store import batch, bounded_batches, drop, materialize, texts
 
-#: Bytes of benchmark text that one pass broadcasts; a larger benchmark is dealt out over several passes. A word
-#: takes two bytes at least, so the numbers of a block's words fit 21 bits and those of three words a long.
+#: Most bytes of benchmark text that are broadcast. A word takes two bytes at least, with what parts it from the next,
+#: so the numbers of its words fit 21 bits and those of three words a long.
 BLOCK_BYTES = 4 << 20
 WORD_BITS = 21
+#: Bits of each of the two filters by which documents choose what they send to the joins: 16 MB.
+FILTER_BITS = 1 << 27
 #: Words of a shingle: 3 of them make one long.
 SHINGLE = 3
 #: A-Z to a-z; all that is not a digit, letter or part of a non-ASCII character to a space.
@@ -169,19 +173,12 @@ def _finder(spark, block: Windows, index: Prefixes) -> Column:
     return F.arrow_udf(run, returnType=FOUND)
 
 
-def blocks_of(bench: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int) -> Iterator[Windows]:
-    """The benchmark's windows in blocks of about ``block_bytes`` of text, each small enough to broadcast."""
-    items = bench.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    n = max(1, -(-total // block_bytes) * (1 if total <= block_bytes else 2))
-    for k in range(n):
-        block = Windows(width)
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        for row in part.toLocalIterator():
-            block.add(row["item_id"], row["text"].encode())
-        if len(block.number) >= 1 << WORD_BITS:
-            raise ValueError("a block has too many words; choose a smaller block_bytes")
-        yield block
+def block_of(items: DataFrame, width: int) -> Windows:
+    """The windows of a benchmark whose size has been checked."""
+    block = Windows(width)
+    for row in items.toLocalIterator():
+        block.add(row["item_id"], row["text"].encode())
+    return block
 
 
 def contamination(
@@ -200,32 +197,149 @@ def contamination(
     where a document holds it, and the window fits there, are the words compared. Null texts have no words; an item
     without an id marks words, but names no item; an empty benchmark hits nothing. Repeated rows stay repeated, and
     the other columns of ``docs`` are carried along, whatever their names; a column found is replaced. Of equally rare
-    shingles the least is the prefix. A benchmark beyond ``block_bytes`` takes several passes.
+    shingles the least is the prefix. A benchmark
+    of up to ``block_bytes`` of text is broadcast; the prefixes of a larger one are a table that documents are joined
+    with (:func:`joined`), with the same result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    finders = []
-    for block in blocks_of(bench, item_id, item_text, width, block_bytes):
-        index = prefixes(block, document_frequency(docs, block, text_col)) if block.items else {}
-        finders.append(_finder(spark, block, index))
-    text = F.col(text_col).cast("string")
-    found = finders[0](text) if len(finders) == 1 else _merged([f(text) for f in finders])
+    items = bench.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    if (items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) > min(block_bytes, BLOCK_BYTES):
+        return joined(docs, items, text_col, width)
+    block = block_of(items, width)
+    index = prefixes(block, document_frequency(docs, block, text_col)) if block.items else {}
+    found = _finder(spark, block, index)(F.col(text_col).cast("string"))
     return docs.select(*(c for c in docs.columns if c != "found"), found.alias("found"))
 
 
-def _merged(each: list[Column]) -> Column:
-    """The findings of several blocks as one."""
-    return F.element_at(
-        F.transform(
-            F.array(F.array(*each)),
-            lambda all_: F.struct(
-                all_[0]["n_words"].alias("n_words"),
-                merge_spans(F.array_sort(F.flatten(F.transform(all_, lambda f: f["spans"])))).alias("spans"),
-                F.array_sort(F.array_distinct(F.flatten(F.transform(all_, lambda f: f["items"])))).alias("items"),
-            ),
-        ),
-        1,
+# -- the same join for a benchmark of any size: its prefixes are a table ---------------------------------------------
+
+
+def hashes(found: list[bytes], size: int) -> np.ndarray:
+    """64 bits of each run of ``size`` words."""
+    n = len(found) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    each = np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found))
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = (out ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def bits_of(codes: DataFrame) -> np.ndarray:
+    """A filter of :data:`FILTER_BITS` bits, two for each code; its size does not depend on the number of codes."""
+    low = F.col("code").bitwiseAND(F.lit(FILTER_BITS - 1))
+    high = F.shiftrightunsigned("code", 32).bitwiseAND(F.lit(FILTER_BITS - 1))
+    each = codes.select(F.explode(F.array(low, high)).alias("p"))
+    parts = each.select(F.shiftright("p", 6).alias("i"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    out, met = np.zeros(FILTER_BITS // 64, np.uint64), parts.toArrow()
+    out[met["i"].to_numpy()] = met["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """False where a code is surely not in the filter."""
+    own, mask = codes.view(np.uint64), np.uint64(FILTER_BITS - 1)
+    seen = lambda at: bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+    return (seen(own & mask) & seen(own >> np.uint64(32) & mask)).astype(bool)
+
+
+def _rows(df: DataFrame, make, schema: str, kinds: pa.Schema) -> DataFrame:
+    """What ``make`` yields of each (key, text), as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made: list[tuple] = []
+            for key, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                for row in make(key, text):
+                    made.append(row)
+                    if len(made) >= 1 << 14:
+                        yield batch(kinds, zip(*made))
+                        made = []
+            if made:
+                yield batch(kinds, zip(*made))
+
+    return df.mapInArrow(run, schema)
+
+
+def joined(docs: DataFrame, items: DataFrame, text_col: str, width: int) -> DataFrame:
+    """:func:`contamination` by shuffled joins. Documents send only the shingles that two filters of fixed size let
+    through: first those of the benchmark, to count documents, then those that are prefixes, with the words around
+    them, which meet the prefix table by shingle and are compared. Equal texts share their findings."""
+    spark = docs.sparkSession
+    text_kind = pa.schema([("item_id", pa.string()), ("window", pa.string())])
+
+    def windows_of(item: str | None, text: bytes):
+        w = words(text)
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            yield item, b" ".join(w[i : i + width]).decode()
+
+    named = materialize(_rows(items, windows_of, "item_id string, window string", text_kind).distinct(), "windows")
+    code_kind = pa.schema([("window", pa.string()), ("place", pa.int32()), ("code", pa.int64())])
+
+    def shingles_of(window: str, text: bytes):
+        w = text.split()
+        for place, code in enumerate(hashes(w, min(SHINGLE, len(w))).tolist()):
+            yield window, place, code
+
+    own = named.select("window", F.col("window").alias("text")).distinct()
+    shingles = materialize(_rows(own, shingles_of, "window string, place int, code long", code_kind), "shingles")
+    size = F.size(F.split("window", " "))
+    sizes = sorted(r[0] for r in own.select(F.least(F.lit(SHINGLE), size)).distinct().collect())  # 3 at most
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    bodies = docs.select(F.md5(text).alias("key"), text.alias("text"))
+
+    any_ = spark.sparkContext.broadcast(bits_of(shingles.select("code")))
+
+    def held(_: str, body: bytes):
+        w = words(body)
+        for s in sizes:
+            codes = np.unique(hashes(w, s))
+            for c in codes[may_hold(any_.value, codes)].tolist():
+                yield (c,)
+
+    counts = _rows(bodies, held, "code long", pa.schema([("code", pa.int64())])).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    rare = shingles.join(counts, "code", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code", "place")).alias("m"))
+    table = materialize(rare.where("m.n > 0").select("m.code", "m.place", "window", size.alias("size")), "prefixes")
+
+    chosen = spark.sparkContext.broadcast(bits_of(table.select("code")))
+    near_kind = pa.schema([("key", pa.string()), ("position", pa.int64()), ("code", pa.int64()), ("before", pa.int32()), ("around", pa.list_(pa.string()))])
+
+    def near(key: str, body: bytes):
+        w = words(body)
+        for s in sizes:
+            codes = hashes(w, s)
+            for at in np.flatnonzero(may_hold(chosen.value, codes)).tolist():
+                first = max(0, at - width + 1)
+                yield key, at, int(codes[at]), at - first, [x.decode() for x in w[first : at + width]]
+
+    places = _rows(bodies, near, "key string, position long, code long, before int, around array<string>", near_kind).distinct()
+    met = places.join(table, "code").where("before >= place").where(F.array_join(F.slice("around", F.col("before") - F.col("place") + 1, F.col("size")), " ") == F.col("window"))
+    start = F.col("position") - F.col("place")
+    hits = materialize(met.select("key", start.alias("start"), (start + F.col("size")).alias("end"), "window"), "hits")
+    spans = hits.groupBy("key").agg(merge_spans(F.array_sort(F.collect_set(F.struct("start", "end")))).alias("spans"))
+    ids = hits.select("key", "window").distinct().join(named.where("item_id is not null"), "window").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    k, s, i = (f"{c}_{uuid.uuid4().hex}" for c in ("key", "spans", "ids"))
+    found = materialize(spans.join(ids, "key", "left").toDF(k, s, i), "found")
+    drop(shingles, table, hits, named)
+    one = F.struct(
+        n_words()(text).alias("n_words"),
+        F.coalesce(s, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
+        F.coalesce(i, F.array().cast("array<string>")).alias("items"),
     )
+    return docs.withColumn(k, F.md5(text)).join(found, k, "left").select(*(c for c in docs.columns if c != "found"), one.alias("found"))
+
+
+def n_words():
+    """The number of words of each text."""
+
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([len(words(t)) for t in texts(col)], pa.int64())
+
+    run.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, returnType="long")
 
 
 def merge_spans(spans: Column) -> Column:
