@@ -174,10 +174,11 @@ def compare_stretches(docs: DataFrame, kind: Tokens, within: bool, hot: int) ->
             tokens, at = kind.hashed(b.column(1))
             for text, first, _, grams, whole in stretches(tokens, at, kind):
                 own = (grams.view(np.int64), whole.view(np.int64), ids[text], first - at[text])[: len(names)]
-                if not within:  # places don't matter: a stretch that a text repeats is one row
-                    one = distinct(grams, whole, text)
-                    own = tuple(c[one] for c in own)
-                yield batch(schema, own)
+                one = distinct(grams, whole, text)  # a stretch that a text repeats is one row, or two: source and copy
+                if within:
+                    rest = np.setdiff1d(np.arange(len(text)), one)
+                    one = np.union1d(one, rest[distinct(grams[rest], whole[rest], text[rest])])
+                yield batch(schema, (c[one] for c in own))
 
     out = pa.schema([("doc_id", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
 
