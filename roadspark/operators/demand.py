@@ -239,16 +239,18 @@ def residential_polygons(features: DataFrame) -> DataFrame:
     return merge_touching(features).select(F.col("part").alias("res_id"), "ring")
 
 
-def destinations_of(pois: DataFrame, localities: DataFrame, size: float = 1000.0) -> DataFrame:
-    """(x, y, dest_type, locality, region) of points of interest; one may lie in several localities, and localities
-    without a region go."""
+def destinations_of(pois: DataFrame, localities: DataFrame, size: float = 1000.0, edges: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, x, y, dest_type, locality, region) of points of interest; one may lie in several localities, and localities
+    without a region go. A point on the edge of a locality lies in it, unless ``edges`` is false."""
     from .prep import cells
 
     kind = expr.destination_type(F.col("office"), F.col("shop"), F.col("amenity"))
-    a = pois.select("x", "y", kind.alias("dest_type"), F.struct(F.floor(F.col("x") / size).cast("long").alias("cx"), F.floor(F.col("y") / size).cast("long").alias("cy")).alias("cell"))
-    b = localities.where("region is not null").select("name", "region", "ring", F.explode(cells(F.col("ring"), size)).alias("cell"))
-    met = a.join(b, "cell").where(geom.contains(F.col("ring"), F.col("x"), F.col("y")))
-    return met.select("x", "y", "dest_type", F.col("name").alias("locality"), "region")
+    a = pois.select(*keys, "x", "y", kind.alias("dest_type"), F.struct(F.floor(F.col("x") / size).cast("long").alias("cx"), F.floor(F.col("y") / size).cast("long").alias("cy")).alias("cell"))
+    b = localities.where("region is not null").select("name", "region", "ring", geom.bounds(F.col("ring")).alias("_b"), F.explode(cells(F.col("ring"), size)).alias("cell"))
+    near = F.col("x").between(F.col("_b.x0"), F.col("_b.x1")) & F.col("y").between(F.col("_b.y0"), F.col("_b.y1"))
+    at = (F.col("ring"), F.col("x"), F.col("y"))
+    inside = geom.contains(*at) | geom.on_ring(*at) if edges else geom.contains(*at) & ~geom.on_ring(*at)
+    return a.join(b, "cell").where(near & inside).select(*keys, "x", "y", "dest_type", F.col("name").alias("locality"), "region")
 
 
 def residential_destinations(joined: DataFrame) -> DataFrame:

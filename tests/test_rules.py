@@ -202,3 +202,12 @@ def test_stream_replay_equals_batch(spark, tmp_path):
     run = replay(spark.readStream.schema(kind).parquet(str(tmp_path / "e"))).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
     run.awaitTermination()
     assert {(r["u"], r["lanes_remaining"]) for r in spark.table(name).collect()} == {(1, 1), (5, 0), (7, 0)}
+
+
+def test_points_on_edges(spark):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    areas = spark.createDataFrame([("a", "r", square)], "name string, region string, ring array<struct<x:double,y:double>>")
+    at = {1: (5.0, 5.0), 2: (5.0, 5.0), 3: (0.0, 5.0), 4: (5.0, 0.0), 5: (10.0, 5.0), 6: (5.0, 10.0), 7: (0.0, 0.0), 8: (11.0, 5.0), 9: (0.0, 11.0)}
+    pois = spark.createDataFrame([(k, *p, None, None, None) for k, p in at.items()], "id long, x double, y double, office string, shop string, amenity string")
+    found = lambda edges: sorted(r["id"] for r in dm.destinations_of(pois, areas, 4.0, edges, ("id",)).collect())
+    assert found(True) == [1, 2, 3, 4, 5, 6, 7] and found(False) == [1, 2]
