@@ -13,7 +13,7 @@ from ..functions import expr, geom
 from ..functions.expr import uniform
 from ..state import cut
 from .aggregates import mean_path_length, od_matrix, row_shares
-from .graph import od_costs
+from .graph import od_costs, priced_od
 
 BUCKETS = 1024
 
@@ -187,7 +187,7 @@ def auxiliary_chain(od: DataFrame, nodes: DataFrame, seed: int | None = None) ->
 def calibration(arcs: DataFrame, od: DataFrame, nodes: DataFrame, target: float = dims.TARGET_LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matrix by region, its row shares, one row of avg_length and abs_error against the target)."""
     matrix = od_matrix(od, nodes, "region", (), dims.REGIONS if set(r["region"] for r in nodes.select("region").distinct().limit(6).collect()) <= set(dims.REGIONS) else None)
-    length = mean_path_length(od, od_costs(arcs, od)).select(F.col("avg_length_all").alias("avg_length"), F.abs(F.lit(target) - F.col("avg_length_all")).alias("abs_error"))
+    length = mean_path_length(priced_od(arcs, od)).select(F.col("avg_length_all").alias("avg_length"), F.abs(F.lit(target) - F.col("avg_length_all")).alias("abs_error"))
     return matrix, row_shares(matrix), length
 
 

@@ -45,6 +45,31 @@ def test_distances_and_paths(spark, rows):
     assert {(r["o"], r["d"]): r["cost"] for r in graph.path_cost(arcs, paths, "length").collect()} == {p: c for p, c in d.items() if c < float("inf")}
 
 
+def test_search_in_tasks(spark, rows, monkeypatch):
+    """Tasks keep no row for each origin and node, and larger networks give the same by joins."""
+    from roadspark.operators import evaluate, search
+
+    nodes, d = shortest(rows)
+    od = spark.createDataFrame([(a, b, 1.0 + (a > b)) for a in nodes for b in nodes] + [(0, 99, 1.0), (99, 0, 1.0), (0, 3, 0.0), (None, 1, 1.0), (1, None, 1.0)], "o long, d long, w double")
+    arcs = made(spark, rows).selectExpr("*", "true car_allowed", "k = 0 bike_allowed", "'safe' safety", "length car_cost_current", "2 * length bike_cost_penalty")
+    told = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    paths = graph.od_paths(arcs, od)
+    joins = graph.distances
+
+    def none(*args, **kwargs):
+        raise AssertionError("distances to all nodes are not asked for")
+
+    monkeypatch.setattr(graph, "distances", none)
+    monkeypatch.setattr(evaluate, "distances", none)
+    by_tasks = [told(f()) for f in (lambda: graph.priced_od(arcs, od), lambda: paths, lambda: graph.path_cost(arcs, paths, "length"), lambda: evaluate.all_costs(arcs, od.distinct()))]
+    assert len(by_tasks[0]) == od.count() and {len(eval(x)) for x in by_tasks[3]} == {7}
+    monkeypatch.setattr(graph, "distances", joins)
+    monkeypatch.setattr(evaluate, "distances", joins)
+    monkeypatch.setattr(search, "HOPS", 0)
+    assert by_tasks[1] == told(graph.od_paths(arcs, od))
+    assert by_tasks == [told(f()) for f in (lambda: graph.priced_od(arcs, od), lambda: paths, lambda: graph.path_cost(arcs, paths, "length"), lambda: evaluate.all_costs(arcs, od.distinct()))]
+
+
 def test_components(spark, rows):
     nodes, d = shortest(rows)
     inf = float("inf")
