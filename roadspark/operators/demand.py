@@ -16,6 +16,8 @@ from .aggregates import mean_path_length, od_matrix, row_shares
 from .graph import od_costs, priced_od
 
 BUCKETS = 1024
+#: Nodes whose cells are broadcast at most, nine times each.
+SENT = 200_000
 
 
 def indexed(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -69,23 +71,30 @@ def point_in(ring: Column, seed: int, keys: list[Column], tries: int = 100) -> C
     return F.when(F.size(hit) > 0, F.try_element_at(hit, F.lit(1))).otherwise(F.raise_error(F.lit("no point found in a polygon")))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, keys: list[str], size: float = 250.0) -> DataFrame:
-    """(*keys, node) of each point (keys, x, y), the smaller id on ties. Points meet the nodes of their own and the
-    neighbouring cells; those whose best is farther than a cell try again with cells four times as wide."""
-    left, done, at = cut(points.select(*keys, "x", "y")), None, nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    at = cut(at.where("nx is not null and ny is not null"))
-    if at.isEmpty():
+def nearest_node(points: DataFrame, nodes: DataFrame, keys: list[str], size: float | None = None) -> DataFrame:
+    """(*keys, node) of each point (keys, x, y), the smaller id on ties. Each point meets one row, the list of the nodes
+    in its cell and the eight around it; those whose best is farther than a cell try again with cells four times as wide.
+    The first cells hold about two nodes each, if ``size`` is not given. Points are not copied for their cells."""
+    at = cut(nodes.where("x is not null and y is not null").select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")))
+    e = at.agg(F.count(F.lit(1)).alias("n"), (F.max("nx") - F.min("nx")).alias("w"), (F.max("ny") - F.min("ny")).alias("h")).first()
+    if not e["n"]:
         raise ValueError("there are no nodes with coordinates")
-    while not left.isEmpty():
-        grid = lambda c: F.floor(F.col(c) / size).cast("long")
-        around = left.withColumn("cx", F.explode(F.sequence(grid("x") - 1, grid("x") + 1))).withColumn("cy", F.explode(F.sequence(grid("y") - 1, grid("y") + 1)))
-        met = around.join(at.select("node_id", "nx", "ny", grid("nx").alias("cx"), grid("ny").alias("cy")), ["cx", "cy"])
-        far = geom.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
-        best = met.groupBy(*keys).agg(F.min(F.struct(far.alias("far"), F.col("node_id"))).alias("m")).where(F.col("m.far") <= size)
-        found = cut(best.select(*keys, F.col("m.node_id").alias("node")))
+    size = size or max(1e-3, (2.0 * max(e["w"], 1.0) * max(e["h"], 1.0) / e["n"]) ** 0.5)
+    grid = lambda c, by: F.floor(F.col(c) / by).cast("long")
+    left, done, around = points.select(*keys, "x", "y"), None, F.sequence(F.lit(-1), F.lit(1))
+    while True:
+        spread = at.withColumn("cx", F.explode(F.transform(around, lambda k: grid("nx", size) + k))).withColumn("cy", F.explode(F.transform(around, lambda k: grid("ny", size) + k)))
+        near = spread.groupBy("cx", "cy").agg(F.collect_list(F.struct("node_id", "nx", "ny")).alias("near"))
+        near = F.broadcast(near) if e["n"] <= SENT else near
+        far = lambda p: F.struct(geom.distance(F.col("x"), F.col("y"), p["nx"], p["ny"]).alias("far"), p["node_id"].alias("node"))  # noqa: B023, E731
+        met = left.withColumn("cx", grid("x", size)).withColumn("cy", grid("y", size)).join(near, ["cx", "cy"], "left")
+        met = cut(met.select(*keys, "x", "y", F.array_min(F.transform("near", far)).alias("m")))
+        within = F.coalesce(F.col("m.far") <= size, F.lit(False))
+        found = met.where(within).select(*keys, F.col("m.node").alias("node"))
         done = found if done is None else done.unionByName(found)
-        left, size = cut(left.join(found, keys, "left_anti")), size * 4
-    return done if done is not None else points.select(*keys, F.lit(None).cast("long").alias("node"))
+        left, size = met.where(~within & F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "x", "y"), size * 4
+        if left.isEmpty():
+            return done
 
 
 def purpose_shares(counts: DataFrame) -> DataFrame:

@@ -211,3 +211,18 @@ def test_points_on_edges(spark):
     pois = spark.createDataFrame([(k, *p, None, None, None) for k, p in at.items()], "id long, x double, y double, office string, shop string, amenity string")
     found = lambda edges: sorted(r["id"] for r in dm.destinations_of(pois, areas, 4.0, edges, ("id",)).collect())
     assert found(True) == [1, 2, 3, 4, 5, 6, 7] and found(False) == [1, 2]
+
+
+def test_nearest_node_copies_no_points(spark, monkeypatch):
+    """Each point meets one row of nodes, whatever the size of the cells; ties go to the smaller id."""
+    nodes = spark.createDataFrame([(i, float(i * 37 % 101), float(i * 53 % 89)) for i in range(60)] + [(60, 0.0, 0.0), (99, None, 1.0)], "node_id long, x double, y double")
+    points = spark.createDataFrame([(i, float(i * 29 % 211) - 50, float(i * 31 % 199) - 50) for i in range(200)] + [(200, 0.0, 0.0)], "id long, x double, y double")
+    at = [tuple(r) for r in nodes.where("x is not null").collect()]
+    want = {p: min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, n) for n, a, b in at)[1] for p, x, y in map(tuple, points.collect())}
+    rows = []
+    monkeypatch.setattr(dm, "cut", lambda df: (rows.append(df.count()), df)[1])
+    for size in (None, 3.0):
+        assert {r["id"]: r["node"] for r in dm.nearest_node(points, nodes, ["id"], size).collect()} == want
+    assert rows[1] == 201  # the points of the first round, not nine for each
+    monkeypatch.setattr(dm, "SENT", 0)
+    assert {r["id"]: r["node"] for r in dm.nearest_node(points, nodes, ["id"]).collect()} == want
